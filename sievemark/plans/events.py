@@ -90,7 +90,8 @@ def p5_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_admitted, p2_found, p2_daily, p2_weekly_revisions, p5_found, p5_rolling)}
 
-_DELIVERIES = """
+#: The kept rows and their times, for the SQL of other modules too.
+DELIVERIES_SQL = """
 deliveries AS (
   SELECT delivery_id, org_id, id AS ident FROM sync_events
   UNION ALL SELECT e.delivery_id, o.id, e.event_id FROM event_in e JOIN organizations o ON e.api_key_hash = o.api_key_hash),
@@ -121,15 +122,15 @@ rolled AS (
   FROM wanted w LEFT JOIN daily d ON d.org_id = w.org_id AND d.day <= w.day AND d.day > w.day - 30 GROUP BY ALL)"""
 
 SQL = {
-    "p1_found": f"WITH {_DELIVERIES} SELECT delivery_id FROM found",
-    "p1_admitted": f"WITH {_DELIVERIES} SELECT delivery_id FROM numbered WHERE copy = 1",
-    "p2_found": f"WITH {_DELIVERIES} SELECT delivery_id, kind FROM timed WHERE kind IN ('cut', 'late')",
-    "p2_daily": f"WITH {_DELIVERIES}{_CHANGES} SELECT org_id, CAST(pane AS VARCHAR) AS day, count(*) AS revision, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM changes GROUP BY org_id, pane",
-    "p2_weekly_revisions": f"""WITH {_DELIVERIES}{_CHANGES}, covered AS (
+    "p1_found": f"WITH {DELIVERIES_SQL} SELECT delivery_id FROM found",
+    "p1_admitted": f"WITH {DELIVERIES_SQL} SELECT delivery_id FROM numbered WHERE copy = 1",
+    "p2_found": f"WITH {DELIVERIES_SQL} SELECT delivery_id, kind FROM timed WHERE kind IN ('cut', 'late')",
+    "p2_daily": f"WITH {DELIVERIES_SQL}{_CHANGES} SELECT org_id, CAST(pane AS VARCHAR) AS day, count(*) AS revision, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM changes GROUP BY org_id, pane",
+    "p2_weekly_revisions": f"""WITH {DELIVERIES_SQL}{_CHANGES}, covered AS (
       SELECT org_id, CAST(pane + CAST(k.k AS INTEGER) AS DATE) AS window_end, arrived, sum(n) AS n, sum(total) AS total FROM changes, range(7) k(k) GROUP BY ALL)
       SELECT org_id, CAST(window_end AS VARCHAR) AS window_end, CAST(arrived AS VARCHAR) AS arrived, row_number() OVER w AS revision, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(total) OVER w AS BIGINT) AS total
       FROM covered WINDOW w AS (PARTITION BY org_id, window_end ORDER BY arrived)""",
-    "p5_found": f"WITH {_DELIVERIES}{_ROLLING} SELECT org_id, CAST(day AS VARCHAR) AS day FROM rolled WHERE total_30 > 0 AND 2 * total_7 >= total_30",
-    "p5_rolling": f"""WITH {_DELIVERIES}{_ROLLING} SELECT org_id, CAST(day AS VARCHAR) AS day, total_7, n_7, total_30, n_30, round(total_7 / 7, 6) AS avg_day_7, round(total_30 / 30, 6) AS avg_day_30,
+    "p5_found": f"WITH {DELIVERIES_SQL}{_ROLLING} SELECT org_id, CAST(day AS VARCHAR) AS day FROM rolled WHERE total_30 > 0 AND 2 * total_7 >= total_30",
+    "p5_rolling": f"""WITH {DELIVERIES_SQL}{_ROLLING} SELECT org_id, CAST(day AS VARCHAR) AS day, total_7, n_7, total_30, n_30, round(total_7 / 7, 6) AS avg_day_7, round(total_30 / 30, 6) AS avg_day_30,
       round(total_7 / nullif(n_7, 0), 6) AS avg_row_7, round(total_30 / nullif(n_30, 0), 6) AS avg_row_30 FROM rolled""",
 }
