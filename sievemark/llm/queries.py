@@ -9,7 +9,7 @@ from ..plans.delivered import kept
 from ..plans.events import DELIVERIES_SQL
 from ..session import checkpointed
 from ..sources.tables import table
-from . import cooccurrence, quantiles, tokenizer
+from . import cooccurrence, leakage, quantiles, tokenizer
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +52,21 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p4_found, p4_percentiles, p6_ids)}
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and the items of whose text they reproduce at least 24 successive words."""
+    return _leaked(spark, folder).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the length of the passage and how well it was recognised."""
+    return _leaked(spark, folder).select("doc_id", "item_id", "words", "matched", F.round("score", 1).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p4_found, p4_percentiles, p6_ids, p7_found, p7_report)}
 
 _PAIRS = f"""WITH {DELIVERIES_SQL}, named AS (
   SELECT DISTINCT delivery_id, translate(upper(trim(p.part)), '- ', '__') AS item
