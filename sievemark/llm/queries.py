@@ -9,7 +9,7 @@ from ..plans.delivered import kept
 from ..plans.events import DELIVERIES_SQL
 from ..session import checkpointed
 from ..sources.tables import table
-from . import cooccurrence, leakage, quantiles, tokenizer
+from . import cooccurrence, languages, leakage, quantiles, tokenizer
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +66,22 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder).select("doc_id", "item_id", "words", "matched", F.round("score", 1).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p4_found, p4_percentiles, p6_ids, p7_found, p7_report)}
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    return languages.page_languages(pages, table(spark, folder, "lang_codes"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose label is not their only language, a row for each language."""
+    return languages.mislabelled(_languages(spark, folder))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every page with its language and confidence."""
+    return _languages(spark, folder).select("doc_id", F.explode("segments").alias("s")).select("doc_id", F.col("s.first").alias("first_line"), F.col("s.last").alias("last_line"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p4_found, p4_percentiles, p6_ids, p7_found, p7_report, p8_found, p8_segments)}
 
 _PAIRS = f"""WITH {DELIVERIES_SQL}, named AS (
   SELECT DISTINCT delivery_id, translate(upper(trim(p.part)), '- ', '__') AS item
