@@ -34,8 +34,8 @@ class SeenBitmaps:
     def __init__(self, spark: SparkSession, root: str, shards: int = 64):
         self.spark, self.versions, self.shards = spark, Versions(spark, root), shards
 
-    def _read(self, part: str) -> DataFrame | None:
-        done = self.versions.committed()
+    def _read(self, part: str, before: int | None = None) -> DataFrame | None:
+        done = [v for v in self.versions.committed() if before is None or v < before]
         return self.spark.read.parquet(*(self.versions.path(v, part) for v in done)) if done else None
 
     def dictionary(self) -> DataFrame | None:
@@ -43,20 +43,29 @@ class SeenBitmaps:
         codes = self._read("codes")
         return codes.where("fresh").select("scope", "ident", "shard", "code") if codes is not None else None
 
-    def bitmaps(self) -> DataFrame | None:
-        """shard, bucket, bits: the newest state of each bucket."""
-        bits = self._read("bits")
+    def bitmaps(self, before: int | None = None) -> DataFrame | None:
+        """shard, bucket, bits: the newest state of each bucket, or that before a version."""
+        bits = self._read("bits", before)
         return bits.groupBy("shard", "bucket").agg(F.max_by("bits", "version").alias("bits")) if bits is not None else None
 
-    def admit(self, batch: DataFrame, scope: str, ident: str, order: str) -> DataFrame:
+    def _unseen(self, version: int) -> DataFrame:
+        """shard, bucket, position, first of the keys of a version's batch whose bit was unset before it."""
+        codes = self.spark.read.parquet(self.versions.path(version, "codes")).select("shard", F.shiftright("code", 15).alias("bucket"), (F.col("code") % BUCKET_BITS).alias("position"), "first")
+        bits = self.bitmaps(before=version)
+        return codes if bits is None else codes.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("position"))).drop("bits")
+
+    def admit(self, batch: DataFrame, scope: str, ident: str, order: str, tag: str = "") -> DataFrame:
         """Of each key (scope, ident) not seen before, the value of `order` of its first delivery in this batch.
 
         Runs: the version with the new bits is written and committed before this returns. Rows whose ident is
         null have no key: they are not in the result, and the caller keeps each. A null scope is a scope of its
         own. Ties on `order` give that value once. An empty batch commits an empty version. Other columns of
-        the batch, whatever their names, aren't looked at.
+        the batch, whatever their names, aren't looked at. If the last version was committed under the same
+        tag (not empty), the batch is a repetition of that one, and what was admitted then is given again.
         """
         version = self.versions.next()
+        if tag and version > 1 and self.versions.tag(version - 1) == tag:
+            return self._unseen(version - 1).select(F.col("first").alias(order))
         self.versions.clear(version)
         known, bits = self.dictionary(), self.bitmaps()
         key = [F.col(scope).alias("scope"), F.col(ident).alias("ident")]
@@ -78,15 +87,13 @@ class SeenBitmaps:
             codes = codes.unionByName(old.withColumn("fresh", F.lit(False)))
         codes.select("scope", "ident", "shard", "code", "first", "fresh").write.option("compression", "zstd").parquet(self.versions.path(version, "codes"))
 
-        codes = self.spark.read.parquet(self.versions.path(version, "codes")).select("shard", F.shiftright("code", 15).alias("bucket"), (F.col("code") % BUCKET_BITS).alias("position"), "first")
-        if bits is not None:
-            codes = codes.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("position"))).drop("bits")
-        new = codes.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+        unseen = self._unseen(version)
+        new = unseen.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
         if bits is not None:
             new = bits.join(new.select("shard", "bucket"), ["shard", "bucket"], "left_semi").unionByName(new).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
         new.withColumn("version", F.lit(version)).write.option("compression", "zstd").parquet(self.versions.path(version, "bits"))
-        self.versions.commit(version)
-        return codes.select(F.col("first").alias(order))
+        self.versions.commit(version, tag)
+        return unseen.select(F.col("first").alias(order))
 
     def count(self) -> int:
         """How many keys have been admitted."""

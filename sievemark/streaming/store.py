@@ -46,23 +46,14 @@ def bounded_stream(events: DataFrame, key: str = "org_id", capacity: int = CAPAC
 def ingest_once(stream: DataFrame, store: SeenBitmaps, sink: str, checkpoint: str, scope: str = "org_id", ident: str = "ident", order: str = "delivery_id"):
     """A started query that appends each message's first delivery to the Parquet folder `sink`.
 
-    A micro-batch is admitted against the seen-bitmaps and written to a folder of its own number. A batch that is repeated
-    after a failure overwrites that folder; if its bits were committed already, nothing is admitted again and the folder of
-    the first attempt stays. Rows without identifier are all kept.
+    A micro-batch is admitted against the seen-bitmaps under its number and written to a folder of that number. A batch
+    that is repeated after a failure gets the same rows admitted again and overwrites that folder. Rows without identifier are all kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        to = f"{sink}/batch={number}"
-        done = f"{sink}-admitted/batch={number}"
-        jvm = batch.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{done}/_SUCCESS")
-        if not path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(path):
-            store.admit(batch, scope, ident, order).write.mode("overwrite").parquet(done)
-        admitted = batch.sparkSession.read.parquet(done)
+        admitted = store.admit(batch, scope, ident, order, tag=f"batch {number}")
         kept = batch.join(admitted, order, "left_semi").unionByName(batch.where(F.col(ident).isNull()))
-        kept.write.mode("overwrite").parquet(to)
-        batch.unpersist()
+        kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
