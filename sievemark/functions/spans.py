@@ -6,6 +6,7 @@ lengths (split) and so have the matches (regexp_extract_all), which gives the po
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,9 +39,11 @@ def find_literals(text: Column, literals: list[str]) -> Column:
     kind = "array<struct<start:int,end:int,pattern:string>>"
 
     def of(lit: str) -> Column:
-        n = len(lit)
-        at = F.filter(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)) == lit)
-        hits = F.transform(at, lambda i: F.struct((i - 1).cast("int").alias("start"), (i - 1 + n).cast("int").alias("end"), F.lit(lit).alias("pattern")))
+        # the text is cut before each occurrence, so the pieces' lengths add up to the places; linear in the text
+        sizes = F.transform(F.split(text, f"(?={re.escape(lit)})", -1), lambda x: F.length(x))
+        start = F.struct(F.lit(0).alias("at"), F.when(text.startswith(lit), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("out"))
+        places = F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"])
+        hits = F.transform(places, lambda i: F.struct(i.alias("start"), (i + len(lit)).alias("end"), F.lit(lit).alias("pattern")))
         return F.when(text.contains(lit), hits).otherwise(F.array().cast(kind))
 
     every = F.concat(*map(of, literals)) if literals else F.array().cast(kind)

@@ -1,0 +1,125 @@
+import heapq
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievemark.operators import analytics, redact, retention
+from sievemark.operators.scoring import composite_score, risk_level
+from sievemark.operators.seen import SeenBitmaps
+from sievemark.sources import export, ingest
+from sievemark.streaming.store import bounded_stream, daily_stream, ingest_once
+
+
+def simulated(rows, capacity):
+    heap = []
+    for arrival, stamp in rows:
+        if len(heap) >= capacity:
+            heapq.heappop(heap)
+        heapq.heappush(heap, (stamp, arrival))
+    return {a for _, a in heap}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_store(spark, seed):
+    random.seed(seed)
+    rows = [(k, random.randrange(40)) for k in range(random.randrange(1, 60))]
+    df = spark.createDataFrame([("o", *r) for r in rows], "org_id string, delivery_id bigint, timestamp bigint")
+    got = {r.delivery_id for r in retention.bounded_store(df, "org_id", capacity=10).collect()}
+    assert got == simulated(rows, 10)
+    assert retention.bounded_store(df.limit(0), "org_id").count() == 0
+
+
+def test_bounded_stream(spark, tmp_path):
+    random.seed(1)
+    rows = [("o", k, random.randrange(1000), f"{k:03d}") for k in range(30)]
+    (tmp_path / "in").mkdir()
+    for part in (0, 1):
+        spark.createDataFrame(rows[part * 15 : part * 15 + 15], "org_id string, arrival bigint, timestamp bigint, id string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("org_id string, arrival bigint, timestamp bigint, id string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = bounded_stream(stream, capacity=10).writeStream.outputMode("update").format("memory").queryName("bounded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.table("bounded").orderBy(F.desc("total")).first()
+    keep = simulated([(r[3], r[2]) for r in rows], 10)
+    assert (last.stored, last.total, last.newest) == (10, 30, max(r[2] for r in rows if r[3] in keep))
+
+
+def test_ingest_once(spark, tmp_path):
+    schema = "delivery_id bigint, org_id string, ident string"
+    for rows in ([(1, "o", "a"), (2, "o", "a"), (3, "o", None)], [(4, "o", "a"), (5, "o", "b"), (6, "p", "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    store = SeenBitmaps(spark, str(tmp_path / "seen"), shards=2)
+    ingest_once(stream, store, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = [r.delivery_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) == 4 and {3, 5, 6} <= set(got)
+
+
+def test_daily_stream(spark, tmp_path):
+    rows = [("o", "2025-03-01T10:00:00", 5), ("o", "2025-03-02T10:00:00", 7), ("o", "2025-03-01T23:00:00", None)]
+    for r in rows:
+        spark.createDataFrame([r], "org_id string, event_at string, risk_score int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("org_id string, event_at timestamp, risk_score int").json(str(tmp_path / "in"))
+    q = daily_stream(stream).writeStream.outputMode("update").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.n, r.total) for r in spark.table("daily").collect()) == [(1, 7), (2, 5)]
+
+
+def test_uploads(spark, tmp_path):
+    event = {"timestamp": 1_700_000_000_000, "llm": "Claude", "riskLevel": "HIGH", "riskScore": 90, "userDecision": "REDACTED"}
+    requests = [{"api_key": "k1", "events": [event, event]}, {"api_key": "k1", "events": [event, event | {"riskLevel": "EXTREME"}]}, {"api_key": "nobody", "events": [event]}, {"api_key": "k1", "events": [event] * 1001}, {"api_key": None, "events": None}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, requests)) + "\nno json")
+    orgs = spark.createDataFrame([("o1", "k1")], "id string, k string").select("id", ingest.key_hash(F.col("k")).alias("api_key_hash"))
+    got = ingest.accepted_events(ingest.read_requests(spark, str(tmp_path / "r.json")), orgs).collect()
+    assert [(r.org_id, r.risk_score, r.threat_categories, r.threat_count) for r in got] == [("o1", 90, [], 0)] * 2
+    codec = spark.createDataFrame([(["a", "", "b|c"],)], "x array<string>").select(ingest.text_to_list(ingest.list_to_text(F.col("x")))).first()[0]
+    assert codec == ["a", "b", "c"]
+
+
+def test_made_events_and_export(spark, tmp_path):
+    made = ingest.events_from_range(spark, 140)
+    assert made.count() == 140 and made.collect() == ingest.events_from_range(spark, 140).collect()
+    row = spark.createDataFrame([(1_700_000_000_123, "Claude", "HIGH", 90, ["A", "B"], 2, "REDACTED", 1.5), (None, None, None, None, None, None, None, None)], "timestamp bigint, llm string, risk_level string, risk_score int, threat_categories array<string>, threat_count int, user_decision string, processing_time_ms double")
+    export.write_csv(row, str(tmp_path / "csv"))
+    assert {r[0] for r in spark.read.text(str(tmp_path / "csv/rows")).collect()} == {'2023-11-14T22:13:20.123Z,Claude,HIGH,90,"A|B",2,REDACTED,1.5', ',,,,"",,,'}
+    assert [r[0] for r in spark.read.text(str(tmp_path / "csv/header")).collect()] == [export.HEADER]
+    filled = retention.with_defaults(row.drop("threat_count"), now_ms=7).collect()
+    assert [(r.timestamp, r.threat_categories, r.threat_count, r.pattern_match_count) for r in filled] == [(1_700_000_000_123, ["A", "B"], 0, 0), (7, [], 0, 0)] and filled[0].id
+
+
+def test_figures(spark):
+    day = 86_400_000
+    kinds = [("ChatGPT", "HIGH", 90, ["CLOUD_API_KEY"], 1, "REDACTED"), ("Claude", "SAFE", 10, [], 0, "ALLOWED"), ("Gemini", "CAUTION", 45, ["EMAIL"], 1, "SENT_ANYWAY")]
+    rows = [("o", k, 1_700_000_000_000 + k * day, *kinds[k % 3]) for k in range(6)]
+    df = spark.createDataFrame(rows, "org_id string, delivery_id bigint, timestamp bigint, llm string, risk_level string, risk_score int, threat_categories array<string>, threat_count int, user_decision string")
+    s = analytics.summary(df, "org_id").first()
+    assert (s.total, s.threats, s.redaction_rate) == (6, 4, 50)
+    t = analytics.trend(df, "org_id").orderBy("label").collect()
+    assert [(r.label, r.value) for r in t] == list(zip(["11-14", "11-15", "11-16", "11-17", "11-18", "11-19"], [90, 10, 45] * 2))
+    d = analytics.dense_trend(df, "2023-11-20", "org_id", days=3).orderBy("label").collect()
+    assert [(r.label, r.value) for r in d] == [("11-18", 10), ("11-19", 45), ("11-20", 0)]
+    assert analytics.stats(df, "org_id").first().clean_streak == 0
+    p = analytics.popup_stats(df, 1_700_000_000_000 + 5 * day, "org_id").first()
+    assert (p.stored_events, p.today_scans, p.today_threats, p.threats_caught, p.last_threat_at, p.last_threat_categories) == (6, 1, 1, 4, rows[5][2], ["EMAIL"])
+    assert [(r.category, r.label) for r in analytics.breakdown(df, "delivery_id", "org_id").orderBy("place").collect()] == [("CLOUD_API_KEY", "Cloud / API Key"), ("EMAIL", "EMAIL")]
+    assert [r.delivery_id for r in analytics.recent(df, 2).collect()] == [5, 4]
+    for f in (lambda x: analytics.summary(x, "org_id"), lambda x: analytics.stats(x, "org_id"), lambda x: analytics.trend(x, "org_id"), lambda x: analytics.popup_stats(x, 0, "org_id")):
+        assert f(df.limit(0)).count() == 0
+    values = spark.createDataFrame([(v,) for v in [3, 1, 2, None, 2]], "v int")
+    assert {r.p: r.value for r in analytics.exact_percentiles(values, "v", [0, 50, 100]).collect()} == {0: 1, 50: 2, 100: 3}
+
+
+def test_spans_and_scores(spark):
+    kind = "array<struct<start:int,end:int,placeholder:string,score:int,seq:int>>"
+    rows = [(1, [(0, 3, "A", 1, 0), (3, 6, "B", 2, 1)], [(0, 3), (3, 6)]), (2, [(7, 40, "JWT", 80, 1), (0, 10, "BEARER", 70, 0)], [(0, 40)]), (3, [], []), (4, [(0, 9, "A", 5, 0), (1, 2, "B", 5, 1), (3, 12, "C", None, 2)], [(0, 12)])]
+    df = spark.createDataFrame([(i, s) for i, s, _ in rows], f"i int, s {kind}")
+    got = {r.i: r.m for r in df.select("i", redact.merge_spans(F.col("s")).alias("m")).collect()}
+    assert {i: [(x.start, x.end) for x in m] for i, m in got.items()} == {i: w for i, _, w in rows} and got[2][0].placeholder == "JWT" and got[4][0].placeholder == "A"
+    by_rows = redact.merge_span_rows(df.select("i", F.inline("s")), "i").collect()
+    assert sorted((r.i, r.start, r.end) for r in by_rows) == sorted((i, *x) for i, _, w in rows for x in w)
+    assert spark.createDataFrame([("abcdef",)], "t string").select(redact.redact(F.col("t"), F.lit(None).cast(kind))).first()[0] == "abcdef"
+    levels = spark.createDataFrame([(0,), (30,), (31,), (60,), (61,), (100,), (None,)], "s int").select(risk_level(F.col("s"))).collect()
+    assert [r[0] for r in levels] == ["SAFE", "SAFE", "CAUTION", "CAUTION", "HIGH", "HIGH", None]
+    scores = spark.createDataFrame([([25],), ([25, 90, 20],), ([90] * 10,), ([],)], "s array<int>").select(composite_score(F.col("s"))).collect()
+    assert [r[0] for r in scores] == [25, 100, 100, 0]
