@@ -97,17 +97,22 @@ _SINGLES = to_java(r"\b(?:[a-z0-9][\s._-]){2,}[a-z0-9]\b")
 
 
 def folded(text: Column) -> Column:
-    """A text in compatibility form (NFKC), without hidden characters, in lower case.
+    """A text in compatibility form (NFKC) and lower case.
 
     Only texts beyond ASCII are normalised, by the ICU library that comes with Spark. The expression is for a
     select: what it calls is not marked as deterministic.
     """
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.lower(F.when(text.rlike("[^\\x00-\\x7f]"), F.regexp_replace(composed, _HIDDEN, "")).otherwise(text))
+    return F.lower(F.when(text.rlike("[^\\x00-\\x7f]"), composed).otherwise(text))
+
+
+def without_hidden(text: Column) -> Column:
+    """The text without characters that show nothing and change the direction."""
+    return F.when(text.rlike("[\\u200b-\\ufeff]"), F.regexp_replace(text, _HIDDEN, "")).otherwise(text)
 
 
 def plain_form(folded_text: Column) -> Column:
-    """Digits and signs that stand for letters undone. Empty for null."""
+    """Digits and signs that stand for letters undone, of a text without hidden characters. Empty for null."""
     s = plain_spaces(folded_text)
     for digit, letter in LEET.items():
         s = F.replace(s, F.lit(digit), F.lit(letter))

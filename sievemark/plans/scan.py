@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +22,13 @@ def _threat(k: int, id: str, category: str, label: str, score: int, count: Colum
     return F.struct(F.lit(k).alias("ord"), F.lit(id).alias("id"), F.lit(category).alias("category"), F.lit(label).alias("label"), F.lit(score).alias("score"), count.cast("int").alias("count"), (null if confidence is None else confidence).cast("double").alias("confidence"), (null if signals is None else signals).cast("array<string>").alias("signals")).cast(THREAT)
 
 
-def scan(rows: DataFrame, text: str = "text", sensitivity: str | Column = "MEDIUM", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
-    """rows and the columns of RESULT.
-
-    A null or empty text is SAFE with score 0 and has a null injection; its redacted text is empty. Columns of
-    rows that are named like one of RESULT are replaced. Threats are sorted by score, then by their place in
-    the dictionary. The time a text takes isn't reported: rows are processed together.
-    """
-    t, level = F.col("_text"), sensitivity if isinstance(sensitivity, Column) else F.lit(sensitivity)
-    keep = [c for c in rows.columns if c not in RESULT]
-    step = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_given"), level.alias("_sensitivity"))
-    step = step.withColumn("_text", plain_spaces(F.col("_given"))).withColumn("_lower", F.lower(t)).withColumn("_folded", detect.folded(F.col("_given")))
-    step = step.withColumn("_plain", detect.plain_form(F.col("_folded")))
-    step = step.withColumn("_raw", F.when(t != "", detect.pattern_matches(t, F.col("_lower"), patterns)).otherwise(F.array().cast(detect.MATCH)))
-    step = step.withColumn("_kept", F.when(F.size("_raw") > 1, detect.without_contained(F.col("_raw"))).otherwise(F.col("_raw")))
-    step = step.withColumn("_entropy", detect.high_entropy(t)).withColumn("_encoded", detect.encoded_secrets(t, patterns))
+@lru_cache(maxsize=16)
+def _steps(context: int, patterns: tuple[Pattern, ...]) -> tuple[tuple[dict[str, Column], ...], dict[str, Column]]:
+    """The columns that are added in turn, and those of the result. They name their inputs only, so they are built once for each context (building takes seconds, as every node is a call to the JVM)."""
+    t = F.col("_text")
     names = F.array(*(F.lit(p.placeholder) for p in patterns)) if patterns else F.array().cast("array<string>")
     turn = F.array(*(F.lit(k if p.always else len(patterns) + k) for k, p in enumerate(patterns))) if patterns else F.array().cast("array<int>")
     own = F.transform("_kept", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), names[m["ord"]].alias("placeholder"), m["score"].alias("score"), turn[m["ord"]].alias("seq")))
-    step = step.withColumn("_own", own.cast(detect.SPAN))
-    step = step.withColumn("_two", F.when(F.size("_entropy") > 0, detect.add_spans(F.col("_own"), F.col("_entropy"), "[SECRET]", detect.ENTROPY_SCORE, 1000)).otherwise(F.col("_own")))
-    step = step.withColumn("_spans", F.when(F.size("_encoded") > 0, detect.add_spans(F.col("_two"), F.col("_encoded"), "[ENCODED_SECRET]", detect.ENCODED_SCORE, 1001)).otherwise(F.col("_two")))
-    step = step.withColumn("_plain", detect.joined_singles(F.col("_plain")))
-    step = step.withColumn("_phrases", detect.injection_phrases(F.col("_plain"))).withColumn("_flags", detect.injection_flags(t, F.col("_plain")))
-    step = step.withColumn("injection", F.when(t != "", detect.injection(F.col("_phrases"), F.col("_flags"), F.col("_sensitivity"))))
     listed = F.array(*(_threat(k, p.id, p.category, p.label, p.score, F.lit(0)) for k, p in enumerate(patterns)))
     counted = F.transform(listed, lambda p: p.withField("count", F.size(F.filter("_kept", lambda m: m["ord"] == p["ord"]))))
     none = F.array().cast(f"array<{THREAT}>")
@@ -55,20 +40,44 @@ def scan(rows: DataFrame, text: str = "text", sensitivity: str | Column = "MEDIU
         F.when(n_encoded > 0, _threat(1001, "ENCODED_SECRET", "ENCODED_SECRET", label("ENCODED_SECRET"), detect.ENCODED_SCORE, n_encoded)),
         F.when(F.col("injection.detected"), _threat(1002, "PROMPT_INJECTION", "PROMPT_INJECTION", label("PROMPT_INJECTION"), detect.INJECTION_SCORE, F.lit(1), F.col("injection.confidence"), F.col("injection.signals"))),
     ]
-    step = step.withColumn("_threats", by_severity(F.concat(by_pattern, F.array_compact(F.array(*others)))))
-    score = composite_score(F.transform("_threats", lambda x: x["score"]))
-    out = step.select(
-        *keep,
-        score.alias("score"),
-        risk_level(score).alias("level"),
-        F.transform("_threats", lambda x: x.dropFields("ord")).alias("threats"),
-        F.array_distinct(F.transform("_threats", lambda x: x["category"])).alias("threat_categories"),
-        F.size("_threats").alias("threat_count"),
-        redact(F.col("_given"), merge_spans(F.col("_spans"))).alias("redacted_text"),
-        F.size("_spans").alias("pattern_match_count"),
-        "injection",
+    steps = (
+        {"_text": plain_spaces(F.col("_given")), "_folded": detect.folded(F.col("_given"))},
+        {"_lower": F.lower(t), "_folded": detect.without_hidden(F.col("_folded"))},
+        {"_plain": detect.plain_form(F.col("_folded")), "_raw": F.when(t != "", detect.pattern_matches(t, F.col("_lower"), patterns)).otherwise(F.array().cast(detect.MATCH))},
+        {"_kept": F.when(F.size("_raw") > 1, detect.without_contained(F.col("_raw"))).otherwise(F.col("_raw")), "_entropy": detect.high_entropy(t), "_encoded": detect.encoded_secrets(t, patterns), "_plain": detect.joined_singles(F.col("_plain"))},
+        {"_own": own.cast(detect.SPAN), "_phrases": detect.injection_phrases(F.col("_plain")), "_flags": detect.injection_flags(t, F.col("_plain"))},
+        {"_two": F.when(F.size("_entropy") > 0, detect.add_spans(F.col("_own"), F.col("_entropy"), "[SECRET]", detect.ENTROPY_SCORE, 1000)).otherwise(F.col("_own")), "injection": F.when(t != "", detect.injection(F.col("_phrases"), F.col("_flags"), F.col("_sensitivity")))},
+        {"_spans": F.when(F.size("_encoded") > 0, detect.add_spans(F.col("_two"), F.col("_encoded"), "[ENCODED_SECRET]", detect.ENCODED_SCORE, 1001)).otherwise(F.col("_two"))},
+        {"_threats": by_severity(F.concat(by_pattern, F.array_compact(F.array(*others)))), "_merged": merge_spans(F.col("_spans"))},
     )
-    return out
+    score = composite_score(F.transform("_threats", lambda x: x["score"]))
+    result = {
+        "score": score,
+        "level": risk_level(score),
+        "threats": F.transform("_threats", lambda x: x.dropFields("ord")),
+        "threat_categories": F.array_distinct(F.transform("_threats", lambda x: x["category"])),
+        "threat_count": F.size("_threats"),
+        "redacted_text": redact(F.col("_given"), F.col("_merged")),
+        "pattern_match_count": F.size("_spans"),
+        "injection": F.col("injection"),
+    }
+    return steps, result
+
+
+def scan(rows: DataFrame, text: str = "text", sensitivity: str | Column = "MEDIUM", patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+    """rows and the columns of RESULT.
+
+    A null or empty text is SAFE with score 0 and has a null injection; its redacted text is empty. Columns of
+    rows that are named like one of RESULT are replaced. Threats are sorted by score, then by their place in
+    the dictionary. The time a text takes isn't reported: rows are processed together.
+    """
+    level = sensitivity if isinstance(sensitivity, Column) else F.lit(sensitivity)
+    keep = [c for c in rows.columns if c not in RESULT]
+    steps, result = _steps(id(rows.sparkSession.sparkContext), tuple(patterns))
+    step = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_given"), level.alias("_sensitivity"))
+    for columns in steps:
+        step = step.withColumns(columns)
+    return step.select(*keep, *(c.alias(k) for k, c in result.items()))
 
 
 def event_of(scanned: DataFrame, id: str, stamp: Column, llm: Column, decision: Column) -> DataFrame:

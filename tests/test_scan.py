@@ -10,7 +10,7 @@ from sievemark.functions.dialect import plain_spaces, to_java
 from sievemark.functions.dictionary import PATTERNS, Pattern, llm_of_host
 from sievemark.functions.entropy import shannon_entropy
 from sievemark.functions.spans import find_all, find_literals
-from sievemark.operators.detect import folded, joined_singles, plain_form
+from sievemark.operators.detect import folded, joined_singles, plain_form, without_hidden
 from sievemark.plans.scan import event_of, organisation_patterns, scan
 
 POSITIVE = {
@@ -117,7 +117,7 @@ def test_injection(spark):
 
 def test_plain_form(spark):
     given = {"1gn0re": "ignore", "Pl3ase": "please", "i g n o r e": "ignore", "i.g.n.o.r.e": "ignore", "a-k-i-a": "akia", "ig​no‌re": "ignore", "ignore the rules": "ignore the rules", "": ""}
-    rows = spark.createDataFrame([(k,) for k in given], "t string").withColumn("f", folded(F.col("t"))).withColumn("p", plain_form(F.col("f")))
+    rows = spark.createDataFrame([(k,) for k in given], "t string").withColumn("f", folded(F.col("t"))).withColumn("f", without_hidden(F.col("f"))).withColumn("p", plain_form(F.col("f")))
     assert {r.t: r.q for r in rows.select("t", joined_singles(F.col("p")).alias("q")).collect()} == given
 
 
