@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the characters of \\s beyond ASCII.
+#: Fixed value: the characters of \s beyond ASCII.
 EXOTIC_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: What \\s becomes. The texts have their exotic spaces turned into vertical tabs first (see plain_spaces), which are in no other class, so
+#: What \s becomes. The texts have their exotic spaces turned into vertical tabs first (see plain_spaces), which are in no other class, so
 #: the class stays within ASCII, where Java tests it by one lookup instead of a dozen comparisons for each character.
 SPACES = r"\t-\r "
 _W = "[0-9A-Za-z_]"

@@ -14,8 +14,10 @@ def bounded_store(events: DataFrame, *keys: str, arrival: str = "delivery_id", s
     The last arrival is found by an aggregation; the others are ranked with a limit that Spark applies within each task before
     the shuffle (a group limit), so a group's rows beyond the capacity don't travel.
     """
-    last = events.groupBy(*keys).agg(F.max(arrival).alias("_last"))
-    tagged = events.join(last, list(keys)) if keys else events.join(F.broadcast(last))
+    if keys:
+        tagged = events.join(events.groupBy(*keys).agg(F.max(arrival).alias("_last")), list(keys))
+    else:
+        tagged = events.withColumn("_last", events.agg(F.max(arrival)).scalar())
     newest = tagged.where(F.col(arrival) == F.col("_last")).drop("_last")
     order = Window.partitionBy(*keys).orderBy(F.col(stamp).desc_nulls_last(), F.col(id).desc())
     rest = tagged.where(F.col(arrival) != F.col("_last")).drop("_last").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= capacity - 1).drop("_rank")

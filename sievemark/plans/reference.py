@@ -106,6 +106,26 @@ def x30_levels(spark, folder):
     return scan(planted(spark, folder)).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+_IDS = {1: [("AWS_ACCESS_KEY", 1)], 2: [("EMAIL", 1)], 3: [("CREDIT_CARD", 1)], 4: [("PASSWORD_ASSIGNMENT", 1)], 5: [("GITHUB_PAT", 1)], 6: [("DB_CONNECTION_STRING", 1)], 7: [("PHONE_US", 1)], 8: [("PROMPT_INJECTION", 1)], 9: [("ENCODED_SECRET", 1)], 10: [("HIGH_ENTROPY_SECRET", 1)],
+        11: [("US_SSN", 1)], 12: [("AWS_ACCESS_KEY", 1), ("EMAIL", 1), ("PHONE_INDIA", 1)], 13: [("AADHAAR", 1), ("PHONE_INDIA", 1)], 15: [("STRIPE_KEY", 2)]}
+
+
+@_query("WITH said(k, id, c) AS (VALUES " + ", ".join(f"({k}, '{i}', {c})" for k, x in _IDS.items() for i, c in x) + f") SELECT id, count(*) AS docs, CAST(sum(c) AS BIGINT) AS matches FROM documents JOIN said ON doc_id % {_N} = k GROUP BY id")
+def x24_threats(spark, folder):
+    """Threats by kind over all documents."""
+    rows = scan(planted(spark, folder)).select(F.inline("threats"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("docs"), F.sum("count").alias("matches"))
+
+
+@_query("""SELECT doc_id, md5(translate(lower(text), '013457@$', 'oieastas')) AS plain FROM documents
+  WHERE regexp_full_match(text, '[\\x00-\\x7f]+') AND NOT regexp_matches(translate(lower(text), '013457@$', 'oieastas'), '[a-z0-9][\\s\\x0b._-][a-z0-9][\\s\\x0b._-][a-z0-9]')""")
+def x12_plain_form(spark, folder):
+    """The form in which injection is looked for, of ASCII texts without spaced-out letters (SQL has neither the Unicode form nor the joining)."""
+    rows = table(spark, folder, "documents", "doc_id", "text").where(F.col("text").rlike("^[\\x00-\\x7f]+\\z"))
+    rows = rows.select("doc_id", detect.plain_form(F.lower("text")).alias("p")).where(~F.col("p").rlike(r"[a-z0-9][\s._-][a-z0-9][\s._-][a-z0-9]"))
+    return rows.select("doc_id", F.md5(detect.joined_singles(F.col("p"))).alias("plain"))
+
+
 _BARE = {
     "AWS_ACCESS_KEY": r"\b(?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{16}\b",
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",

@@ -123,3 +123,26 @@ def test_spans_and_scores(spark):
     assert [r[0] for r in levels] == ["SAFE", "SAFE", "CAUTION", "CAUTION", "HIGH", "HIGH", None]
     scores = spark.createDataFrame([([25],), ([25, 90, 20],), ([90] * 10,), ([],)], "s array<int>").select(composite_score(F.col("s"))).collect()
     assert [r[0] for r in scores] == [25, 100, 100, 0]
+
+
+def test_store_of_tables(spark, tmp_path):
+    from sievemark.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    assert store.events().count() == 0 and store.total_scans().count() == 0
+    orgs = spark.createDataFrame([("o", "Org", "key")], "id string, name string, api_key string")
+    store.bootstrap(orgs)
+    store.bootstrap(orgs)
+    assert [(r.id, r.plan, r.api_key_hash) for r in store.organisations().collect()] == [("o", "trial", "2c70e12b7a0646f92279f427c7b38e7334d8e5389cff167a1dc30e73f826b683")]
+    made = ingest.events_from_range(spark, 20).withColumns({"org_id": F.lit("o"), "arrival": F.col("id").cast("bigint")})
+    store.append(made)
+    store.append(made.limit(3))
+    assert store.events("o").count() == 23 and store.events("x").count() == 0 and store.bounded().count() == 23
+    store.clear()
+    assert store.events().count() == 0 and store.total_scans().first().total == 23
+    id = store.add_pattern("o", "Merger", "merger file", "M")
+    assert [(r.id, r.score) for r in store.patterns("o").collect()] == [(id, 50)]
+    assert not store.remove_pattern("x", id) and store.remove_pattern("o", id) and not store.remove_pattern("o", id)
+    assert store.patterns("o").count() == 0
+    with pytest.raises(ValueError):
+        store.add_pattern("o", "n", "p", "c", 101)
