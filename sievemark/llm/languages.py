@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most rows of each language that the models are fitted on.
-FIT_ROWS = 250
+#: The most rows of each language that the models are fitted on, and the longest text among them.
+FIT_ROWS, FIT_CHARACTERS = 250, 20_000
 #: Share of the word frequencies in the mixture; added to each count of letters; letters that may follow; probability that a declared label is right; strength of the smoothing; cost of a change of language; weight of the text in a confidence.
 WORD_SHARE, ADDED, LETTERS, RELIABLE, STRENGTH, SWITCH, TEMPER = 0.7, 0.05, 60, 0.85, 20.0, 8.0, 0.1
 #: A language of a page runs over so many successive lines at least; a page has prose if so many of its lines hold two words or more.
@@ -170,8 +170,8 @@ def source_priors(labelled: DataFrame, languages: list[str]) -> tuple[DataFrame,
 def fitted(documents: DataFrame, clean: DataFrame, languages: list[str]) -> Model:
     """The models, fitted on the driver. documents: text, declared; clean: text, lang. At most FIT_ROWS rows of each language of either come to the driver."""
     bound = FIT_ROWS * len(languages)
-    seeds = [(r[0], r[1]) for r in clean.select("text", "lang").where(F.col("lang").isin(languages)).limit(bound).toLocalIterator()]
-    rows = documents.where("declared IS NOT NULL AND text <> ''")
+    seeds = [(r[0], r[1]) for r in clean.select("text", "lang").where(F.col("lang").isin(languages) & (F.length("text") <= FIT_CHARACTERS)).limit(bound).toLocalIterator()]
+    rows = documents.where(F.col("declared").isNotNull() & (F.col("text") != "") & (F.length("text") <= FIT_CHARACTERS))
     count = {r[0]: r[1] for r in rows.groupBy("declared").count().collect()}
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, FIT_ROWS / n))) for k, n in count.items())) if count else None
     picked = []

@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 SEED, COMMON, EVIDENCE, SPREAD = 3, 4.0, 12.0, 40
 #: A corpus of fewer documents is taken for one of so many, as its counts say little.
 FEW = 10_000
-#: Items whose n-grams are sent to the tasks at once.
-ITEM_BLOCK = 20_000
+#: The most items, and characters of items, that are sent to the tasks at once.
+ITEM_BLOCK, BLOCK_CHARACTERS = 2_000, 2_000_000
+#: Longer items are handled as pieces of so many words, which share PIECE_SHARED words with the next; so is any passage of that length in one piece.
+PIECE, PIECE_SHARED = 400, 100
 #: Of the alignment: a matched word, one that doesn't match, an item's word that is left out, skipping lines, and each line skipped; least share of letter pairs.
 MATCH, MISS, LEFT_OUT, SKIP, LINE, ALIKE = 1.0, -1.0, -0.8, -1.0, -0.1, 0.5
 #: Words of a document that are aligned at once; longer documents are aligned in overlapping stretches.
@@ -56,8 +58,9 @@ class Items:
     """A block of items: word ids, n-grams as numbers, and where they stand."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.words = [words(t) for _, t in items]
+        pieces = [(i, w[k : k + PIECE]) for i, t in items for w in [words(t)] for k in range(0, max(1, len(w) - PIECE_SHARED), PIECE - PIECE_SHARED)]
+        self.ids = [i for i, _ in pieces]
+        self.words = [w for _, w in pieces]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words)))}
         self.base = len(self.vocabulary) + 1
         rows = [(g, k, p) for k, w in enumerate(self.words) for p, g in enumerate(self.grams(np.array([self.vocabulary[x] for x in w], np.int64))[0].tolist())]
@@ -238,7 +241,7 @@ def _stretches(page: list[list[str]]) -> list[list[list[str]]]:
 def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_matched: float = 0.85) -> DataFrame:
     """key, item, words, matched, score: each document and item of which it reproduces at least `least` successive words.
 
-    words is the length of the passage in the item, matched how many of them were recognised. The document frequencies are
+    least may be up to PIECE_SHARED. words is the length of the passage in the item (within a piece of a long one), matched how many of them were recognised. The document frequencies are
     counted in a job of their own when this is called. Null and empty texts give no rows. An item
     of fewer words than `least` gives none. Repeated keys give a row each.
     """
@@ -246,7 +249,9 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     given = documents.select(F.col(key), F.col(text).alias("_text"))
     kinds = (given.schema[0].dataType, items.schema[item].dataType)
     schema = T.StructType([T.StructField(key, kinds[0]), T.StructField(item, kinds[1]), T.StructField("words", T.IntegerType()), T.StructField("matched", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    out, block = [], []
+    if least > PIECE_SHARED:
+        raise ValueError(f"passages of up to {PIECE_SHARED} words can be asked for")
+    out, block, size = [], [], 0
 
     def against(block: list[tuple[int, str | None]]) -> DataFrame:
         own = spark.sparkContext.broadcast(Items(block))
@@ -267,12 +272,13 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys, rows = b.column(0), []
+                keys, best = b.column(0), {}
                 for t, k, score, first, last, hits in matcher.value.matches(b.column(1).to_pylist()):
                     n = last - first + 1
                     if n >= least and hits >= least_matched * n:
-                        rows.append((t, matcher.value.items.ids[k], n, hits, score))
-                cols = list(zip(*rows)) if rows else [()] * 5
+                        pair = (t, matcher.value.items.ids[k])
+                        best[pair] = max(best.get(pair, (0.0, 0, 0)), (score, n, hits))
+                cols = list(zip(*((t, i, n, hits, score) for (t, i), (score, n, hits) in best.items()))) if best else [()] * 5
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64())], names=schema.names)
 
         return given.mapInArrow(match, schema)
@@ -282,9 +288,10 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     kind = to_arrow_type(kinds[1])
     for row in items.select(item, item_text).toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == ITEM_BLOCK:
+        size += len(row[1] or "")
+        if len(block) >= ITEM_BLOCK or size >= BLOCK_CHARACTERS:
             out.append(against(block))
-            block = []
+            block, size = [], 0
     if block or not out:
         out.append(against(block))
     return reduce(DataFrame.unionByName, out)

@@ -52,6 +52,15 @@ def test_cases(spark):
     assert leakage.leaked(docs.limit(0), items).count() == 0 and leakage.leaked(docs, items.limit(0)).count() == 0
 
 
+def test_long_items(spark):
+    """A passage of an item of several pieces is found wherever it stands, once."""
+    long = text(1500, 50)
+    docs = spark.createDataFrame([(k, "\n".join(page(text(50, 60 + k)) + page(long[k : k + 40]) + page(text(50, 90 + k)))) for k in range(0, 1450, 61)] + [(9999, "\n".join(page(long)))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(long))], "item_id bigint, text string")
+    got = [tuple(r) for r in leakage.leaked(docs, items).select("doc_id", "item_id").collect()]
+    assert sorted(got) == sorted((r.doc_id, 1) for r in docs.collect())
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t, _ in cases()], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, " ".join(ITEM)), (9, " ".join(text(70, 77))), (8, " ".join(ITEM[:50]))], "item_id bigint, text string")
