@@ -93,7 +93,7 @@ def add_spans(spans: Column, hits: Column, placeholder: str, score: int, seq: in
 #: Fixed value: the letters that digits and signs stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _HIDDEN = "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
-_SINGLES = to_java(r"\b(?:[a-z0-9][\s._-]){2,}[a-z0-9]\b")
+SINGLES = to_java(r"\b(?:[a-z0-9][\s._-]){2,}[a-z0-9]\b")
 
 
 def folded(text: Column) -> Column:
@@ -121,10 +121,10 @@ def plain_form(folded_text: Column) -> Column:
 
 def joined_singles(s: Column) -> Column:
     """Single letters or digits with separators between them joined to words."""
-    runs = F.transform(F.regexp_extract_all(s, F.lit(_SINGLES), F.lit(0)), lambda m: F.regexp_replace(m, f"[{SPACES}._-]", ""))
-    parts = F.zip_with(F.split(s, _SINGLES, -1), runs, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    runs = F.transform(F.regexp_extract_all(s, F.lit(SINGLES), F.lit(0)), lambda m: F.regexp_replace(m, f"[{SPACES}._-]", ""))
+    parts = F.zip_with(F.split(s, SINGLES, -1), runs, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
     possible = s.rlike(to_java(r"[a-z0-9][\s._-][a-z0-9][\s._-][a-z0-9]"))
-    return F.when(possible & s.rlike(_SINGLES), F.array_join(parts, "")).otherwise(s)
+    return F.when(possible & s.rlike(SINGLES), F.array_join(parts, "")).otherwise(s)
 
 
 THRESHOLDS = {"LOW": 0.8, "MEDIUM": 0.6, "HIGH": 0.4}

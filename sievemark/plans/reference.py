@@ -12,6 +12,7 @@ from ..functions.spans import find_all, find_literals, has_literal
 from ..functions.timing import event_time_ms
 from ..operators import analytics, detect, redact, retention, scoring
 from ..sources import export, ingest
+from ..session import spread
 from ..sources.tables import table
 from .scan import scan
 
@@ -69,7 +70,7 @@ _PLANTED_SQL = f"planted AS (SELECT doc_id, coalesce(text, '') || {_case(PLANTED
 def planted(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and text of all documents with their sentences."""
     said = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % _N + 1).cast("int"))
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
+    return spread(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,11 +119,11 @@ def x24_threats(spark, folder):
 
 
 @_query("""SELECT doc_id, md5(translate(lower(text), '013457@$', 'oieastas')) AS plain FROM documents
-  WHERE regexp_full_match(text, '[\\x00-\\x7f]+') AND NOT regexp_matches(translate(lower(text), '013457@$', 'oieastas'), '[a-z0-9][\\s\\x0b._-][a-z0-9][\\s\\x0b._-][a-z0-9]')""")
+  WHERE regexp_full_match(text, '[\\x00-\\x7f]+') AND NOT regexp_matches(translate(lower(text), '013457@$', 'oieastas'), '\\b(?:[a-z0-9][\\s\\x0b._-]){2,}[a-z0-9]\\b')""")
 def x12_plain_form(spark, folder):
     """The form in which injection is looked for, of ASCII texts without spaced-out letters (SQL has neither the Unicode form nor the joining)."""
     rows = table(spark, folder, "documents", "doc_id", "text").where(F.col("text").rlike("^[\\x00-\\x7f]+\\z"))
-    rows = rows.select("doc_id", detect.plain_form(F.lower("text")).alias("p")).where(~F.col("p").rlike(r"[a-z0-9][\s._-][a-z0-9][\s._-][a-z0-9]"))
+    rows = rows.select("doc_id", detect.plain_form(F.lower("text")).alias("p")).where(~F.col("p").rlike(detect.SINGLES))
     return rows.select("doc_id", F.md5(detect.joined_singles(F.col("p"))).alias("plain"))
 
 
@@ -157,7 +158,7 @@ LITERALS = ("the", "he", "here", "er", "ana", "ssi")
   SELECT p AS pattern, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(sum(i - 1) AS BIGINT) AS starts, CAST(sum(i - 1 + length(p)) AS BIGINT) AS ends FROM hits GROUP BY p""")
 def x2_literals(spark, folder):
     """Every occurrence of some literals, overlapping ones too."""
-    rows = table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.inline(find_literals(F.col("text"), list(LITERALS))))
+    rows = spread(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.inline(find_literals(F.col("text"), list(LITERALS))))
     # the number of documents: a row a document and literal first, then a row a literal
     per = rows.groupBy("pattern", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e"))
     return per.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum("s").alias("starts"), F.sum("e").alias("ends"))

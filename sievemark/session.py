@@ -46,3 +46,12 @@ def checkpointed(df):
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """df over at least as many partitions as the cluster has cores, for work that is heavy for each row.
+
+    An input that fills the cluster stays as it is: only one that is too small for it (a single file, say) is shuffled, once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
