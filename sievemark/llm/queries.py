@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.delivered import kept
 from ..plans.events import DELIVERIES_SQL
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from ..sources.tables import table
 from . import cooccurrence, languages, leakage, quantiles, tokenizer
 
@@ -49,11 +49,11 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document's text by byte_bpe_50k."""
-    return tokenizer.encode_column(table(spark, folder, "documents"), "doc_id", "text")
+    return tokenizer.encode_column(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def _leaked(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.leaked(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    pages = spread(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
     return languages.page_languages(pages, table(spark, folder, "lang_codes"), table(spark, folder, "eval_items"))
 
 
