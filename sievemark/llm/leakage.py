@@ -1,9 +1,12 @@
 """Evaluation texts that leaked into training texts, wholly or in part, damaged as scanned pages are.
 
-1. Each item's words make n-grams of SEED words. One pass over all documents counts in how many each n-gram stands.
-2. The rare ones are seeds: those in fewer than exp(-COMMON) (1.8 %) of the documents, weighted by how much rarer they
+1. Each item's words make n-grams of SEED words. One pass over all documents counts in how many each n-gram stands
+   alone, that is without LONG successive words of an item within SPREAD words. So an n-gram isn't taken for a common
+   one because the passage it belongs to is often reprinted. Of a text with many equal copies each copy counts as a part.
+2. The rare ones are seeds: those alone in fewer than exp(-COMMON) (1.8 %) of the documents, weighted by how much rarer they
    are, in logarithms. A document and an item that share seeds of a total weight of EVIDENCE within SPREAD words
    of the item are a candidate pair. (Passages of 24 words weigh 20 or more even on badly read pages.)
+   So are those that share LONG successive words, however common these are.
 3. A Smith-Waterman alignment of words scores each candidate. Words match if they are equal or share enough
    letter pairs (misread letters, halves of words broken at a line end). Lines may be skipped whole, at a small
    cost: adverts, and lines of another column. The item's words that the best alignment runs over, from its first to its last, are the passage.
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED, COMMON, EVIDENCE, SPREAD = 3, 4.0, 12.0, 40
+#: So many successive words of an item make a candidate whatever their frequency.
+LONG = 8
+#: The most texts of which equal copies are counted together.
+COPIED = 1_000
 #: A corpus of fewer documents is taken for one of so many, as its counts say little.
 FEW = 10_000
 #: The most items, and characters of items, that are sent to the tasks at once.
@@ -66,34 +73,51 @@ class Items:
         rows = [(g, k, p) for k, w in enumerate(self.words) for p, g in enumerate(self.grams(np.array([self.vocabulary[x] for x in w], np.int64))[0].tolist())]
         self.at = np.array(sorted(rows), np.int64).reshape(-1, 3)
         self.known = np.unique(self.at[:, 0])
-
-    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the n-grams of a sequence of word ids (-1: a word that no item has) and their positions."""
-        n = len(ids) - SEED + 1
+        long: dict[int, set[int]] = {}
+        for k, w in enumerate(self.words):
+            for g in self.grams(np.array([self.vocabulary[x] for x in w], np.int64), LONG)[0].tolist():
+                long.setdefault(g, set()).add(k)
+        self.known_long = np.array(sorted(long), np.int64)
+        self.long_rows = [sorted(long[g]) for g in self.known_long.tolist()]
+
+    def grams(self, ids: np.ndarray, size: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the n-grams of a sequence of word ids (-1: a word that no item has) and their positions. Numbers of long ones are hashes."""
+        n = len(ids) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code, good = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(SEED):
+        factor = self.base if size <= SEED else 6_364_136_223_846_793_005
+        for k in range(size):
             part = ids[k : k + n]
-            code = code * self.base + part
+            code = code * factor + part
             good &= part >= 0
         at = np.flatnonzero(good)
         return code[at], at
 
-    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of all n-grams of the texts that items have: the text's index and the n-gram's index in known."""
+    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all n-grams of the texts that items have: the text's index, the n-gram's index in known, whether it stands alone; the same of the long ones, by known_long."""
         all_words = [words(t) for t in texts]
         sizes = np.fromiter(map(len, all_words), np.int64, len(texts))
         ids = np.fromiter(map(self.vocabulary.get, chain.from_iterable(all_words), repeat(-1)), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)
-        code, at = self.grams(ids)
-        at_end = at + SEED - 1
-        same = owner[at] == owner[at_end] if len(at) else np.zeros(0, bool)
-        code, at = code[same], at[same]
-        k = np.searchsorted(self.known, code)
-        k[k == len(self.known)] = 0
-        hit = self.known[k] == code if len(self.known) else np.zeros(len(code), bool)
-        return owner[at][hit], k[hit]
+
+        def hits(size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            code, at = self.grams(ids, size)
+            same = owner[at] == owner[at + size - 1]
+            code, at = code[same], at[same]
+            k = np.searchsorted(known, code)
+            k[k == len(known)] = 0
+            hit = known[k] == code if len(known) else np.zeros(len(code), bool)
+            return at[hit], k[hit]
+
+        at, gram = hits(SEED, self.known)
+        long_at, long = hits(LONG, self.known_long)
+        # the first long one that isn't too far before; texts are set apart so that none reaches into the next
+        apart = 2 * SPREAD * owner
+        begin, marks = at + apart[at], long_at + apart[long_at]
+        k = np.searchsorted(marks, begin - (LONG - SEED) - SPREAD)
+        alone = np.append(marks, 1 << 62)[k] > begin + SPREAD
+        return owner[at], gram, alone, owner[long_at], long
 
 
 def _letter_pairs(word: str) -> tuple[tuple[int, ...], int]:
@@ -169,7 +193,7 @@ def align(pairs: list[tuple[list[str], list[list[str]]]]) -> list[tuple[float, i
 
 
 class Matcher:
-    """The seeds of a block of items, given in how many documents each of their n-grams stands, and the number of documents."""
+    """The seeds of a block of items, given in how many documents each of their n-grams stands alone, and the number of documents."""
 
     def __init__(self, items: Items, frequency: np.ndarray, documents: int):
         self.items = items
@@ -184,14 +208,16 @@ class Matcher:
 
     def candidates(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """Index of a text, index of an item."""
-        owner, gram = self.items.found(texts)
+        owner, gram, _, long_owner, long = self.items.found(texts)
+        sure = {(t, k) for t, g in zip(long_owner.tolist(), long.tolist()) for k in self.items.long_rows[g]}
+        yield from sure
         use = self.is_seed[gram] if len(gram) else np.zeros(0, bool)
         places: dict[tuple[int, int], dict[int, float]] = {}
         for t, g in zip(owner[use].tolist(), gram[use].tolist()):
             for k, p in self.rows[g]:
                 places.setdefault((t, k), {})[p] = self.weight[g]
         for pair, at in places.items():
-            if sum(at.values()) >= EVIDENCE:
+            if pair not in sure and sum(at.values()) >= EVIDENCE:
                 order, begin, total = sorted(at), 0, 0.0
                 for p in order:
                     total += at[p]
@@ -242,7 +268,7 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     """key, item, words, matched, score: each document and item of which it reproduces at least `least` successive words.
 
     least may be up to PIECE_SHARED. words is the length of the passage in the item (within a piece of a long one), matched how many of them were recognised. The document frequencies are
-    counted in a job of their own when this is called. Null and empty texts give no rows. An item
+    counted in jobs of their own when this is called. Null and empty texts give no rows. An item
     of fewer words than `least` gives none. Repeated keys give a row each.
     """
     spark = documents.sparkSession
@@ -257,18 +283,20 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
         own = spark.sparkContext.broadcast(Items(block))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(own.value.known) + 1, np.int64)  # the last counts all documents
+            n = np.zeros(len(own.value.known) + 1)  # the last counts all documents
             for b in batches:
                 n[-1] += len(b)
-                owner, gram = own.value.found(b.column(0).to_pylist())
-                n += np.bincount(np.unique(owner * len(n) + gram) % len(n), minlength=len(n)) if len(gram) else 0
+                part = np.array([1 / copies.get(h, 1) for h in b.column(1).to_pylist()])
+                owner, gram, alone, _, _ = own.value.found(b.column(0).to_pylist())
+                once = np.unique(owner[alone] * len(n) + gram[alone])
+                n += np.bincount(once % len(n), part[once // len(n)], len(n)) if len(once) else 0
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["gram", "n"])
 
-        frequency = np.zeros(len(own.value.known) + 1, np.int64)
-        for g, n in given.select("_text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).toLocalIterator():
+        frequency = np.zeros(len(own.value.known) + 1)
+        for g, n in given.select("_text", F.xxhash64("_text")).mapInArrow(count, "gram bigint, n double").groupBy("gram").agg(F.sum("n")).toLocalIterator():
             frequency[g] = n
-        matcher = spark.sparkContext.broadcast(Matcher(own.value, frequency[:-1], int(frequency[-1])))
+        matcher = spark.sparkContext.broadcast(Matcher(own.value, frequency[:-1], round(frequency[-1])))
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -286,6 +314,8 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(kinds[1])
+    same = given.groupBy(F.xxhash64("_text").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = {h: n for h, n in same.orderBy(F.desc("n"), "hash").limit(COPIED).collect()}
     for row in items.select(item, item_text).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1] or "")

@@ -52,6 +52,19 @@ def test_cases(spark):
     assert leakage.leaked(docs.limit(0), items).count() == 0 and leakage.leaked(docs, items.limit(0)).count() == 0
 
 
+def test_reprinted_passages(spark):
+    """A passage that stands in a third of all documents or more, damaged or in equal copies, is found in each."""
+    other = " ".join(text(70, 77)).split()
+    numbers = lambda n, seed: [str(random.Random(seed + k).randrange(10**6)) for k in range(0, 10_000 * n, 10_000)]
+    mixed = "\n".join(x for pair in zip(page(other[10:60], 4), page(numbers(60, 9), 4)) for x in pair)
+    pages = [(k, "\n".join(page(numbers(60, 1000 + k)) + page(damaged(ITEM[10:40], k)) + page(numbers(60, 2000 + k))), 7) for k in range(250)]
+    pages += [(k, mixed, 9) for k in range(250, 500)] + [(k, "\n".join(page(numbers(120, 3000 + k))), None) for k in range(500, 700)]
+    docs = spark.createDataFrame(pages, "doc_id bigint, text string, given bigint").drop("given")
+    items = spark.createDataFrame([(7, " ".join(ITEM)), (9, " ".join(other))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked(docs, items).collect()}
+    assert got == {(i, k) for i, _, k in pages if k}
+
+
 def test_long_items(spark):
     """A passage of an item of several pieces is found wherever it stands, once."""
     long = text(1500, 50)
