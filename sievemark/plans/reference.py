@@ -127,6 +127,15 @@ def x12_plain_form(spark, folder):
     return rows.select("doc_id", F.md5(detect.joined_singles(F.col("p"))).alias("plain"))
 
 
+@_query()
+def x12_plain_forms(spark, folder):
+    """The same of all documents, with the Unicode form, hidden characters and spaced-out letters; an empty form for null. No SQL has it."""
+    rows = spread(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", detect.folded(F.col("text")).alias("p"))
+    for step in (detect.without_hidden, detect.plain_form, detect.joined_singles):
+        rows = rows.select("doc_id", step(F.col("p")).alias("p"))
+    return rows.select("doc_id", F.md5("p").alias("plain"))
+
+
 _BARE = {
     "AWS_ACCESS_KEY": r"\b(?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{16}\b",
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
