@@ -42,8 +42,8 @@ ITEM_BLOCK, BLOCK_CHARACTERS = 2_000, 2_000_000
 PIECE, PIECE_SHARED = 400, 100
 #: Of the alignment: a matched word, one that doesn't match, an item's word that is left out, skipping lines, and each line skipped; least share of letter pairs.
 MATCH, MISS, LEFT_OUT, SKIP, LINE, ALIKE = 1.0, -1.0, -0.8, -1.0, -0.1, 0.5
-#: Words of a document that are aligned at once; longer documents are aligned in overlapping stretches.
-STRETCH = 1000
+#: Words of a document that are aligned at once; longer documents are aligned in stretches that share at least STRETCH_SHARED words, and lines of over LINE_WORDS words are cut.
+STRETCH, STRETCH_SHARED, LINE_WORDS = 1000, 250, 50
 #: Pairs that are aligned side by side.
 TOGETHER = 48
 
@@ -252,16 +252,19 @@ class Matcher:
 
 
 def _stretches(page: list[list[str]]) -> list[list[list[str]]]:
-    """The lines of a page in stretches of about STRETCH words, of which each begins with the last quarter of the one before."""
-    out, part, size = [], [], 0
-    for x in (x[i : i + STRETCH] for x in page for i in range(0, len(x), STRETCH)):
+    """The lines of a page in stretches of about STRETCH words, of which each begins with the last quarter of the lines of the one before, or more so that STRETCH_SHARED words are shared."""
+    out, part, size, fresh = [], [], 0, False
+    for x in (x[i : i + LINE_WORDS] for x in page for i in range(0, len(x), LINE_WORDS)):
         part.append(x)
         size += len(x)
+        fresh = True
         if size >= STRETCH:
             out.append(part)
-            part = part[-(len(part) // 4) :] if len(part) > 3 else []
+            keep, size = len(part) // 4, 0
+            keep = max(keep, next(n for n, x in enumerate(reversed(part), 1) if (size := size + len(x)) >= STRETCH_SHARED))
+            part, fresh = part[-keep:], False
             size = sum(map(len, part))
-    return [*out, part] if part else out
+    return [*out, part] if fresh else out
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_matched: float = 0.85) -> DataFrame:

@@ -65,6 +65,15 @@ def test_reprinted_passages(spark):
     assert got == {(i, k) for i, _, k in pages if k}
 
 
+def test_passages_across_stretches(spark):
+    """A passage of a long text without line breaks is found wherever it stands."""
+    rows = [(k, " ".join(text(k, k) + ITEM[10:50] + text(2200 - k, k + 1))) for k in range(700, 2100, 35)] + [(1, " ".join(text(980, 21) + ITEM[10:50] + text(900, 22)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(ITEM))], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in leakage.leaked(docs, items).collect()) == sorted(k for k, _ in rows)
+    assert leakage._stretches([["a"] * 1000]) == [[["a"] * 50] * 20] and leakage._stretches([]) == []
+
+
 def test_long_items(spark):
     """A passage of an item of several pieces is found wherever it stands, once."""
     long = text(1500, 50)
