@@ -10,6 +10,8 @@
 3. A Smith-Waterman alignment of words scores each candidate. Words match if they are equal or share enough
    letter pairs (misread letters, halves of words broken at a line end). Lines may be skipped whole, at a small
    cost: adverts, and lines of another column. The item's words that the best alignment runs over, from its first to its last, are the passage.
+   If too few of them matched, the longest part of it that is matched well enough is, and else one of the next best alignment,
+   down to a score of WEAK.
 
 Items are handled in blocks of ITEM_BLOCK, each against all documents, so what is sent to the tasks has a bound
 whatever the number of items. Nothing but the counts of the items' own n-grams goes through a shuffle.
@@ -44,6 +46,8 @@ PIECE, PIECE_SHARED = 400, 100
 MATCH, MISS, LEFT_OUT, SKIP, LINE, ALIKE = 1.0, -1.0, -0.8, -1.0, -0.1, 0.5
 #: Words of a document that are aligned at once; longer documents are aligned in stretches that share at least STRETCH_SHARED words, and lines of over LINE_WORDS words are cut.
 STRETCH, STRETCH_SHARED, LINE_WORDS = 1000, 250, 50
+#: The least score of an alignment in which a passage is looked for; 24 words in lines of four with other lines in between have some 11.
+WEAK = 9.0
 #: Pairs that are aligned side by side.
 TOGETHER = 48
 
@@ -142,8 +146,8 @@ def _alike(page: list[str], item: list[str]) -> np.ndarray:
     return common >= ALIKE * (np.array(sizes)[:, None] + np.array(own_sizes)[None, :]) / 2
 
 
-def align(pairs: list[tuple[list[str], list[list[str]]]]) -> list[tuple[float, int, int, int]]:
-    """score, first and last word of the item, and matched words of the best local alignment of each (item, lines of a page).
+def align(pairs: list[tuple[list[str], list[list[str]]]]) -> list[tuple[float, int, int, int, int]]:
+    """score, first and last word of the item, and matched words of the best local alignment of each (item, lines of a page); the most matched words that any alignment has.
 
     All pairs are aligned side by side. A state is one number: the score in the upper half, then what the first
     word leaves to 65,535, then the matched words; so the larger of two is the better one.
@@ -170,7 +174,7 @@ def align(pairs: list[tuple[list[str], list[list[str]]]]) -> list[tuple[float, i
     state, best = begin.copy(), begin.copy()
     held = np.full_like(state, -(1 << 50))
     miss, left_out, skip, line = (int(x * 10) * unit for x in (MISS, LEFT_OUT, SKIP, LINE))
-    step = np.empty_like(state)
+    step, most = np.empty_like(state), np.zeros(n, np.int64)
     for k in range(long):
         if (at := np.flatnonzero(starting[k])).size:
             state[at] = np.maximum(state[at], held[at])
@@ -187,9 +191,71 @@ def align(pairs: list[tuple[list[str], list[list[str]]]]) -> list[tuple[float, i
             best[at] = np.maximum(best[at], state[at])
         if (at := np.flatnonzero(ending[k])).size:
             held[at] = np.maximum(held[at] + line, state[at] + skip)
+        if k % 4 == 3 or k == long - 1:  # an alignment of some score outlasts four words
+            most = np.maximum(most, (state & 65_535).max(axis=1))
     last = (best >> 32).argmax(axis=1)
     top = best[np.arange(n), last]
-    return [(s / 10, 65_535 - (f & 65_535), e - 1, h) for s, f, e, h in zip((top >> 32).tolist(), (top >> 16).tolist(), last.tolist(), (top & 65_535).tolist())]
+    most = np.maximum(most, top & 65_535)
+    return [(s / 10, 65_535 - (f & 65_535), e - 1, h, m) for s, f, e, h, m in zip((top >> 32).tolist(), (top >> 16).tolist(), last.tolist(), (top & 65_535).tolist(), most.tolist())]
+
+
+def paths(item: list[str], page: list[list[str]]) -> Iterator[tuple[float, list[tuple[int, bool]]]]:
+    """Score and path of the alignments of one pair, the best first, down to WEAK; none takes a match that one before has. A path is the item's words it runs over, and whether each matched."""
+    like = _alike(list(chain.from_iterable(page)), item)
+    ends = np.cumsum([len(x) for x in page]) - 1
+    starts = {0, *(ends[:-1] + 1).tolist()}
+    match, miss, left_out, skip, line = (int(x * 10) for x in (MATCH, MISS, LEFT_OUT, SKIP, LINE))
+    long, wide = like.shape
+    last_of_line = set(ends.tolist())
+    while True:
+        # base: the state before each word of the page; source: the line's end that it is taken from
+        base, state = np.zeros((long + 1, wide + 1), np.int64), np.zeros((long + 1, wide + 1), np.int64)
+        source = np.tile(np.arange(long + 1)[:, None], wide + 1)
+        held, held_at = np.full(wide + 1, -(1 << 40)), np.zeros(wide + 1, np.int64)
+        for k in range(long):
+            base[k] = state[k]
+            if k in starts and (take := held > base[k]).any():
+                base[k][take], source[k][take] = held[take], held_at[take]
+            step = base[k] + miss
+            step[1:] = np.maximum(step[1:], base[k, :-1] + np.where(like[k], match, miss))
+            for _ in range(2):
+                step[1:] = np.maximum(step[1:], step[:-1] + left_out)
+            state[k + 1] = np.maximum(step, 0)
+            if k in last_of_line:
+                held += line
+                new = state[k + 1] + skip
+                held_at[new > held] = k + 1
+                held = np.maximum(held, new)
+        k, j = divmod(int(state.argmax()), wide + 1)
+        score, path = state[k, j] / 10, []
+        if score < WEAK:
+            return
+        while k and state[k, j] > 0:
+            now, row = state[k, j], base[k - 1]
+            hit = j > 0 and bool(like[k - 1, j - 1])
+            if j and now == row[j - 1] + (match if hit else miss):
+                path.append((j - 1, hit))
+                like[k - 1, j - 1] = False
+                j -= 1
+                k = int(source[k - 1, j])
+            elif now == row[j] + miss:
+                k = int(source[k - 1, j])
+            else:
+                path.append((j - 1, False))
+                j -= 1
+        yield score, path[::-1]
+
+
+def passage(path: list[tuple[int, bool]], least: int, least_matched: float) -> tuple[int, int, int] | None:
+    """First and last word of the item and matched words of the longest part of a path that has at least `least` words, that share of them matched."""
+    matched = np.concatenate([[0], np.cumsum([m for _, m in path])])
+    n = len(path)
+    for size in range(n, least - 1, -1):
+        hits = matched[size:] - matched[: n + 1 - size]
+        if hits.max() >= least_matched * size:
+            k = int(hits.argmax())
+            return path[k][0], path[k + size - 1][0], int(hits[k])
+    return None
 
 
 class Matcher:
@@ -228,25 +294,38 @@ class Matcher:
                         yield pair
                         break
 
-    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int, int]]:
-        """text, item, score, first and last word, matched words of every candidate pair."""
+    def matches(self, texts: list[str | None], least: int, least_matched: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """text, item, score, first and last word, matched words of every candidate pair with a passage of at least `least` words, that share of them matched; of several the one with the best score."""
         held: list[tuple[int, int, list[list[str]]]] = []
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        failed: list[tuple[int, int, list[list[str]]]] = []
 
-        def settle() -> None:
-            for (t, k, _), got in zip(held, align([(self.items.words[k], page) for _, k, page in held]) if held else []):
-                found[t, k] = max(got, found.get((t, k), got))
-            held.clear()
+        def keep(pair: tuple[int, int], got: tuple[float, int, int, int]) -> None:
+            found[pair] = max(got, found.get(pair, got))
+
+        def settle(held: list[tuple[int, int, list[list[str]]]]) -> None:
+            for (t, k, page), got in zip(held, align([(self.items.words[k], page) for _, k, page in held])):
+                _, first, last, hits, most = got
+                if last - first + 1 >= least and hits >= least_matched * (last - first + 1):
+                    keep((t, k), got[:4])
+                elif most >= least_matched * least:
+                    failed.append((t, k, page))
 
         now, stretches = -1, []
         for t, k in sorted(self.candidates(texts)):
             if t != now:
                 now, stretches = t, _stretches(lines(texts[t]))
-            for page in stretches:
-                held.append((t, k, page))
-                if len(held) == TOGETHER:
-                    settle()
-        settle()
+            held += [(t, k, page) for page in stretches]
+        # pairs of like sizes side by side
+        held.sort(key=lambda x: (len(self.items.words[x[1]]) // 32, sum(map(len, x[2]))))
+        for i in range(0, len(held), TOGETHER):
+            settle(held[i : i + TOGETHER])
+        for t, k, page in failed:
+            if (t, k) not in found:
+                for score, path in paths(self.items.words[k], page):
+                    if part := passage(path, least, least_matched):
+                        keep((t, k), (score, *part))
+                        break
         for (t, k), got in found.items():
             yield t, k, *got
 
@@ -304,11 +383,9 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keys, best = b.column(0), {}
-                for t, k, score, first, last, hits in matcher.value.matches(b.column(1).to_pylist()):
-                    n = last - first + 1
-                    if n >= least and hits >= least_matched * n:
-                        pair = (t, matcher.value.items.ids[k])
-                        best[pair] = max(best.get(pair, (0.0, 0, 0)), (score, n, hits))
+                for t, k, score, first, last, hits in matcher.value.matches(b.column(1).to_pylist(), least, least_matched):
+                    pair = (t, matcher.value.items.ids[k])
+                    best[pair] = max(best.get(pair, (0.0, 0, 0)), (score, last - first + 1, hits))
                 cols = list(zip(*((t, i, n, hits, score) for (t, i), (score, n, hits) in best.items()))) if best else [()] * 5
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64())], names=schema.names)
 

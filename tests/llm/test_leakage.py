@@ -74,6 +74,25 @@ def test_passages_across_stretches(spark):
     assert leakage._stretches([["a"] * 1000]) == [[["a"] * 50] * 20] and leakage._stretches([]) == []
 
 
+def test_passages_beside_unreadable_words(spark):
+    """Parts of a page that are long enough count, whatever stands between them or gives a better alignment."""
+    item = text(96, 31)
+    other = lambda n: [str(k) * 3 for k in range(n)]
+    rows = [(1, item[:30] + other(11) + item[41:71]), (2, item[:40] + other(16) + item[56:]), (3, item[:20] + other(12) + item[32:52])]
+    docs = spark.createDataFrame([(k, "\n".join(page(w))) for k, w in rows], "doc_id bigint, text string")
+    got = leakage.leaked(docs, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(r.matched >= 0.85 * r.words and r.words >= 24 for r in got)
+
+
+def test_next_best_alignment(monkeypatch):
+    """The second alignment is found where the first has no passage; the first one scores as in align."""
+    item = text(90, 33)
+    lines = [item[60:84], ["0"] * 90, item[:20] + ["1"] * 12 + item[32:52]]
+    got = list(leakage.paths(item, lines))
+    assert got[0][0] == leakage.align([(item, lines)])[0][0]
+    assert [bool(leakage.passage(p, 24, 0.85)) for _, p in got[:2]] == [False, True]
+
+
 def test_long_items(spark):
     """A passage of an item of several pieces is found wherever it stands, once."""
     long = text(1500, 50)
