@@ -86,8 +86,8 @@ class Model:
         self._reset()
 
     def _index(self, word: str) -> int:
-        m = f"^^{word[:40]}$"
-        total = np.sum([self.letters[t] if (t := m[i - 2 : i + 1]) in self.letters else self.unseen.get(t[:2], self.never) for i in range(2, len(m))], axis=0) + math.log(1 - WORD_SHARE)
+        m = f"^^{word}$"
+        total = sum((self.letters[t] if (t := m[i - 2 : i + 1]) in self.letters else self.unseen.get(t[:2], self.never) for i in range(2, len(m))), np.zeros(len(self.languages))) + math.log(1 - WORD_SHARE)
         if word in self.known:
             total = np.logaddexp(total, np.log(WORD_SHARE * self.known[word] + 1e-300))
         k = len(self.row)

@@ -35,6 +35,13 @@ def test_pages_and_segments(spark):
     assert {tuple(r) for r in found.collect()} == {(2, "de"), (3, "en"), (3, "es"), (10, "de"), (11, "de")}
 
 
+def test_all_letters_of_long_words_count():
+    model = languages.Model(["en", "de"]).add((" ".join(lines(k, 20, k)), k) for k in ("en", "de")).fit()
+    begin = "q" * 40
+    alone, english, german = model.line_likelihoods([[[begin], [begin + "through" * 9 + "people"], [begin + "schlossundbrücke" * 4]]])[0]
+    assert english[0] > english[1] + 3 and german[1] > german[0] + 10 and german.max() < alone.min()
+
+
 def test_empty_tables(spark):
     docs, codes, clean = tables(spark)
     assert languages.page_languages(docs.limit(0), codes, clean).count() == 0
