@@ -6,6 +6,8 @@ A null threat_count counts as 0, a null risk_score as 0, a null list as empty, u
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +76,30 @@ def stats(events: DataFrame, *keys: str, ms: str = "timestamp", order: str = "de
     when = F.struct(F.coalesce(F.col(ms), F.lit(-(2**62))).alias("t"), (-F.col(order)).alias("o"))
     marked = events.select(*keys, when.alias("_when"), ends.alias("_ends"), _threats().alias("_threat"), F.coalesce(F.col("user_decision") == "REDACTED", F.lit(False)).alias("_redacted"))
     last = marked.groupBy(*keys).agg(F.max(F.when(F.col("_ends"), F.col("_when"))).alias("_last"), F.count(F.lit(1)).alias("total"), F.count_if("_threat").alias("threats_caught"), F.count_if("_redacted").alias("_redacted_n"))
-    after = marked.join(last.select(*keys, "_last"), list(keys)).where(F.col("_last").isNull() | (F.col("_when") > F.col("_last"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("clean_streak"))
+    ends = last.select(*(F.col(k).alias(f"_{k}") for k in keys), "_last")
+    inside = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    after = marked.join(ends, inside).where(F.col("_last").isNull() | (F.col("_when") > F.col("_last"))).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("clean_streak"))
     rate = F.when(F.col("threats_caught") > 0, F.floor(F.col("_redacted_n") / F.col("threats_caught") * 100 + 0.5)).otherwise(0).cast("bigint")
-    return last.join(after, list(keys), "left").select(*keys, "total", "threats_caught", rate.alias("redaction_rate"), F.coalesce("clean_streak", F.lit(0)).alias("clean_streak"))
+    return last.join(after, inside, "left").select(*keys, "total", "threats_caught", rate.alias("redaction_rate"), F.coalesce("clean_streak", F.lit(0)).alias("clean_streak"))
+
 
+def popup_stats(events: DataFrame, since_ms: int, *keys: str, ms: str = "timestamp", order: str = "delivery_id", totals: DataFrame | None = None) -> DataFrame:
+    """keys, total_scans, stored_events, today_scans, today_threats, threats_caught, clean_streak, last_threat_at, last_threat_categories; today begins at since_ms. Nulls for no threat.
 
-def popup_stats(events: DataFrame, since_ms: int, *keys: str, ms: str = "timestamp", order: str = "delivery_id") -> DataFrame:
-    """keys, stored_events, today_scans, today_threats, threats_caught, last_threat_at, last_threat_categories; today begins at since_ms. Nulls for no threat."""
+    totals: keys, total, the lifetime counter; where it has no row or 0, total_scans is the number of events. clean_streak as in stats.
+    """
     today = F.coalesce(F.col(ms) >= since_ms, F.lit(False))
     newest = F.struct(F.coalesce(F.col(ms), F.lit(-(2**62))), -F.col(order))
     last = F.max_by(F.when(_threats(), F.struct(F.col(ms).alias("t"), F.col("threat_categories").alias("c"))), F.when(_threats(), newest))
-    out = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored_events"), F.count_if(today).alias("today_scans"), F.count_if(today & _threats()).alias("today_threats"), F.count_if(_threats()).alias("threats_caught"), last.alias("_last"))
-    return out.select(*keys, "stored_events", "today_scans", "today_threats", "threats_caught", F.col("_last.t").alias("last_threat_at"), F.col("_last.c").alias("last_threat_categories"))
+    out = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored_events"), F.count_if(today).alias("today_scans"), F.count_if(today & _threats()).alias("today_threats"), last.alias("_last"))
+    same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
+    more = stats(events, *keys, ms=ms, order=order)
+    out = out.join(more, same(out, more)).drop(*(more[k] for k in keys))
+    if totals is not None:
+        totals = totals.select(*keys, F.col("total").alias("_ever"))
+        out = out.join(totals, same(out, totals), "left").drop(*(totals[k] for k in keys))
+    ever = F.coalesce(F.nullif("_ever", F.lit(0)), F.col("stored_events")) if totals is not None else F.col("stored_events")
+    return out.select(*keys, ever.alias("total_scans"), "stored_events", "today_scans", "today_threats", "threats_caught", "clean_streak", F.col("_last.t").alias("last_threat_at"), F.col("_last.c").alias("last_threat_categories"))
 
 
 def filtered(events: DataFrame, risk: str = "ALL", llm: str = "ALL") -> DataFrame:
@@ -107,17 +121,45 @@ def recent(events: DataFrame, n: int = 10, ms: str = "timestamp", order: str = "
     return events.orderBy(F.col(ms).desc_nulls_last(), order).limit(n)
 
 
+#: Ranges of values that the percentiles of a group are looked for in.
+RANGES = 1_000
+
+
+def _within(values: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys, value, n, part: each distinct value of a group, its number of rows, and the part of the group's range (its span cut into RANGES) that it lies in."""
+    counted = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ends = counted.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    both = counted.join(ends, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True)))
+    span = F.col("_high").cast("double") - F.col("_low").cast("double")
+    place = F.when(span > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("_v").cast("double") - F.col("_low").cast("double")) / span * RANGES))).otherwise(0)
+    return both.select(*keys, "_v", "_n", F.coalesce(place, F.lit(0)).cast("int").alias("_part"))
+
+
 def exact_percentiles(values: DataFrame, value: str, percents: list[int], *keys: str) -> DataFrame:
     """keys, p, value: the (floor(p / 100 * n) + 1)-th smallest of n values (the last at most), without interpolation; nulls don't count.
 
-    Values are counted first, so that equal ones travel once; the positions are a running sum over the distinct values of a group.
+    Equal values are counted first and travel once. A group's range is cut into RANGES parts, whose counts tell in which part
+    each rank lies; only the distinct values of that part are put in order, so a hot group is never sorted as a whole.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    placed = counted.select(*keys, F.col(value).alias("value"), F.sum("_n").over(order).alias("_to"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"), "_n")
-    asked = placed.select("*", F.explode(F.array(*map(F.lit, percents))).alias("p"))
+    given = _within(values, value, keys)
+    parts = given.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    order = Window.partitionBy(*keys).orderBy("_part")
+    parts = parts.select(*keys, "_part", (F.sum("_in").over(order) - F.col("_in")).alias("_before"), "_in", F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
     rank = F.least(F.floor(F.col("p") * F.col("_all") / 100), F.col("_all") - 1)
-    return asked.where((rank >= F.col("_to") - F.col("_n")) & (rank < F.col("_to"))).select(*keys, "p", "value")
+    asked = parts.select("*", F.explode(F.array(*map(F.lit, percents))).alias("p")).where((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
+    asked = asked.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_wanted"), "p", (rank - F.col("_before")).alias("_rest"))
+    inside = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_part") == F.col("_wanted"))
+    near = given.join(asked, inside)
+    to = F.sum("_n").over(Window.partitionBy(*keys, "p").orderBy("_v"))
+    return near.select(*keys, "p", F.col("_v").alias("value"), to.alias("_to"), "_n", "_rest").where((F.col("_rest") >= F.col("_to") - F.col("_n")) & (F.col("_rest") < F.col("_to"))).select(*keys, "p", "value")
+
+
+def timings(values: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys, n, p50, p95, p99, mean and rate (rows a second: 1000 / mean) of times in ms; nulls don't count. A mean of 0 has no rate."""
+    mean = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(value)) / F.count(F.lit(1))).cast("double").alias("mean"))
+    wide = exact_percentiles(values, value, [50, 95, 99], *keys).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)))
+    inside = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    return mean.join(wide, inside).select(*keys, "n", "p50", "p95", "p99", "mean", F.round(F.lit(1000.0) / F.nullif("mean", F.lit(0.0))).cast("bigint").alias("rate"))
 
 
 def ago(ms: Column, now_ms: Column, wording: str = "short") -> Column:

@@ -3,18 +3,23 @@
 The state of an entity on a day holds, for each period of W days, the total and the number of rows of the W
 days ending with it. The next day's state is yesterday's plus today's arrivals minus the amounts of the day
 that expires. A correction of a past day changes only the W days from it on; those get a new version.
-All amounts are integers, so the recurrence is exact.
+All amounts are integers, so the recurrence is exact. RollingStore keeps amounts and state in a folder of versions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .versions import Versions, merged
+
+PERIODS = (7, 30)
+
 
-def daily_amounts(rows: DataFrame, entity: str, day: str, amount: str) -> DataFrame:
-    """entity, day, total, n of each entity and day with rows; null amounts count as 0. The map side combines, so hot entities stay small."""
-    return rows.where(F.col(day).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(day).alias("day")).agg(F.sum(F.coalesce(F.col(amount), F.lit(0))).cast("bigint").alias("total"), F.count(F.lit(1)).alias("n"))
+def kinds(periods: tuple[int, ...]) -> list[str]:
+    return [f"{k}_{w}" for w in periods for k in ("total", "n")]
 
 
 def spine(entities: DataFrame, entity: str, first: Column, last: Column) -> DataFrame:
@@ -22,55 +27,112 @@ def spine(entities: DataFrame, entity: str, first: Column, last: Column) -> Data
     return entities.select(F.col(entity).alias("entity")).where("entity IS NOT NULL").distinct().select("entity", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("day"))
 
 
-def advance(yesterday: DataFrame, arrivals: DataFrame, daily: DataFrame, day: Column, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """One step of the recurrence: the state of `day` from that of the day before, that day's arrivals, and the amounts that expire.
+def advance(yesterday: DataFrame | None, daily: DataFrame, days: DataFrame, first: dt.date, last: dt.date, periods: tuple[int, ...] = PERIODS) -> DataFrame:
+    """entity, day, total_W and n_W of each entity and day of `days`, from the state of the day before `first`: the recurrence over the days from first to last, one or many.
 
-    yesterday: entity, day, total_W, n_W; arrivals: entity, total, n of `day`; daily: entity, day, total, n of
-    the past. Entities seen for the first time begin at 0; an entity stays in the state when nothing arrives.
+    yesterday: entity, total_W, n_W; None for zeros. daily: entity, day, total, n: what arrived, of the days that are taken in
+    and of those that expire meanwhile; others are left out. On its day an amount comes in, W days later it goes out; the state is
+    yesterday's and the running sum of that, in one shuffle on entity and day. Entities without any amount have zeros; those outside
+    `days` don't come out.
     """
-    parts = [yesterday.select("entity", *(F.col(f"{k}_{w}") for w in periods for k in ("total", "n")))]
-    parts.append(arrivals.select("entity", *(F.col(k).alias(f"{k}_{w}") for w in periods for k in ("total", "n"))))
+    zero, names = F.lit(0).cast("bigint"), kinds(periods)
+    span = F.col("day").between(F.lit(first), F.lit(last))
+    amounts = daily.where(F.col("day").between(F.lit(first - dt.timedelta(days=max(periods))), F.lit(last)))
+    moves = [days.where(span).select("entity", "day", F.lit(True).alias("wanted"), *(zero.alias(c) for c in names))]
+    if yesterday is not None:
+        moves.append(yesterday.select("entity", F.lit(first).alias("day"), F.lit(False).alias("wanted"), *(F.col(c).cast("bigint").alias(c) for c in names)))
+    signed = lambda c, w, sign: (sign * F.col(c.split("_")[0]).cast("bigint")) if c.endswith(f"_{w}") else zero
+    moves.append(amounts.where(span).select("entity", "day", F.lit(False).alias("wanted"), *(F.col(c.split("_")[0]).cast("bigint").alias(c) for c in names)))
     for w in periods:
-        gone = daily.where(F.col("day") == F.date_sub(day, w))
-        parts.append(gone.select("entity", *((-F.col(k) if v == w else F.lit(0).cast("bigint")).alias(f"{k}_{v}") for v in periods for k in ("total", "n"))))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("entity").agg(*(F.sum(f"{k}_{w}").alias(f"{k}_{w}") for w in periods for k in ("total", "n"))).withColumn("day", day)
-
-
-def rolling_state(daily: DataFrame, days: DataFrame, periods: tuple[int, ...] = (7, 30), version: int = 1) -> DataFrame:
-    """The recurrence over all days at once: entity, day, total_W and n_W for each period, version.
-
-    days: the entities and days wanted (see spine). An amount comes in on its day and goes out W days later, so
-    the state is the running sum of what came in less what went out, in one shuffle on the entity. Entities
-    without any amount have zeros. Amounts of entities outside `days` don't come out.
-    """
-    kinds = [f"{k}_{w}" for w in periods for k in ("total", "n")]
-    zero = F.lit(0).cast("bigint")
-    moves = [days.select("entity", "day", F.lit(True).alias("wanted"), *(zero.alias(c) for c in kinds))]
-    came = daily.select("entity", "day", F.lit(False).alias("wanted"), *(F.col(c.split("_")[0]).cast("bigint").alias(c) for c in kinds))
-    moves.append(came)
-    for w in periods:
-        moves.append(daily.select("entity", F.date_add("day", w).alias("day"), F.lit(False).alias("wanted"), *((-F.col(c.split("_")[0]).cast("bigint") if c.endswith(f"_{w}") else zero).alias(c) for c in kinds)))
+        gone = amounts.select("entity", F.date_add("day", w).alias("day"), F.lit(False).alias("wanted"), *(signed(c, w, -1).alias(c) for c in names)).where(span)
+        if yesterday is None:  # what came before the first day isn't in the zeros
+            gone = gone.where(F.col("day") >= F.lit(first + dt.timedelta(days=w)))
+        moves.append(gone)
     rows = moves[0]
     for m in moves[1:]:
         rows = rows.unionByName(m)
-    net = rows.groupBy("entity", "day").agg(F.max("wanted").alias("wanted"), *(F.sum(c).alias(c) for c in kinds))
+    net = rows.groupBy("entity", "day").agg(F.max("wanted").alias("wanted"), *(F.sum(c).alias(c) for c in names))
     so_far = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return net.select("entity", "day", "wanted", *(F.sum(c).over(so_far).alias(c) for c in kinds)).where("wanted").drop("wanted").withColumn("version", F.lit(version))
+    return net.select("entity", "day", "wanted", *(F.sum(c).over(so_far).alias(c) for c in names)).where("wanted").drop("wanted")
 
 
-def corrected(state: DataFrame, late: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """state with late daily amounts put in: only the days that a correction reaches change and get the next version.
+class RollingStore:
+    """Daily amounts and state of entities under `root`, a folder that all executors share.
 
-    late: entity, day, total, n (negative amounts take back). At most max(periods) days change for each late day.
+    Before the day `start` everything is zero. The parts are `daily` (what arrived, by entity and day; several rows add up)
+    and `state` (entity, day, total_W, n_W, version; of several the highest version holds).
     """
-    far = max(periods)
-    reached = late.select("entity", F.col("day").alias("_from"), "total", "n", F.explode(F.expr(f"sequence(day, date_add(day, {far - 1}))")).alias("day"))
-    inside = lambda w: F.col("day") < F.date_add("_from", w)
-    change = reached.groupBy("entity", "day").agg(*(F.sum(F.when(inside(w), F.col(k)).otherwise(0)).cast("bigint").alias(f"d_{k}_{w}") for w in periods for k in ("total", "n")))
-    kinds = [f"{k}_{w}" for w in periods for k in ("total", "n")]
-    joined = state.join(change, ["entity", "day"], "left")
-    touched = F.col(f"d_{kinds[0]}").isNotNull()
-    return joined.select("entity", "day", *((F.col(c) + F.coalesce(F.col(f"d_{c}"), F.lit(0))).alias(c) for c in kinds), (F.col("version") + F.when(touched, 1).otherwise(0)).alias("version"))
+
+    def __init__(self, spark: SparkSession, root: str, start: dt.date, periods: tuple[int, ...] = PERIODS):
+        self.spark, self.versions, self.start, self.periods = spark, Versions(spark, root), start, periods
+
+    def _manifest(self, version: int | None = None) -> tuple[int, dict]:
+        version = self.versions.latest() if version is None else version
+        return version, self.versions.manifest(version)
+
+    def _read(self, state: dict, part: str) -> DataFrame | None:
+        return self.spark.read.parquet(*(p for _, p in state[part])) if state.get(part) else None
+
+    def last_day(self) -> dt.date:
+        """The last day whose state is there; the day before `start` if none is."""
+        given = self._manifest()[1].get("day")
+        return dt.date.fromisoformat(given) if given else self.start - dt.timedelta(days=1)
+
+    def _commit(self, version: int, before: dict, folder: str, day: dt.date) -> None:
+        read = self.spark.read.parquet
+
+        def daily_of(level: int, paths: list[str]) -> str:
+            read(*paths).groupBy("entity", "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).write.parquet(to := f"{folder}/daily-{level}")
+            return to
+
+        def state_of(level: int, paths: list[str]) -> str:
+            read(*paths).write.parquet(to := f"{folder}/state-{level}")
+            return to
+
+        parts = {"daily": merged(before.get("daily", []), [0, f"{folder}/daily"], daily_of), "state": merged(before.get("state", []), [0, f"{folder}/state"], state_of)}
+        self.versions.commit(version, {**parts, "day": day.isoformat()})
+
+    def advance(self, arrivals: DataFrame, entities: DataFrame, last: dt.date) -> int:
+        """Takes in the days after last_day() up to `last`; gives the version that it makes.
+
+        arrivals: entity, day, total, n; those of other days are left out: earlier ones are for correct(). entities: entity, all that
+        are to have a state on these days. Nothing to do if `last` is no new day. Runs.
+        """
+        version, before = self._manifest()
+        first, folder = self.last_day() + dt.timedelta(days=1), self.versions.attempt()
+        if last < first:
+            return version
+        arrivals.where(F.col("entity").isNotNull() & F.col("day").between(F.lit(first), F.lit(last))).select("entity", "day", "total", "n").write.parquet(f"{folder}/daily")
+        daily, yesterday, past = self.spark.read.parquet(f"{folder}/daily"), None, self._read(before, "daily")
+        if past is not None:
+            daily = daily.unionByName(past)
+            yesterday = self.state().where(F.col("day") == F.lit(first - dt.timedelta(days=1)))
+        out = advance(yesterday, daily, spine(entities, "entity", F.lit(first), F.lit(last)), first, last, self.periods)
+        out.withColumn("version", F.lit(1)).write.parquet(f"{folder}/state")
+        self._commit(version + 1, before, folder, last)
+        return version + 1
+
+    def correct(self, late: DataFrame) -> int:
+        """Puts late daily amounts into days that are there already; gives the version that it makes.
+
+        late: entity, day, total, n (negative amounts take back); days before `start` or after last_day() are left out. Only the
+        days that a correction reaches, at most max(periods) for each, are computed again and written, with the next version. Runs.
+        """
+        version, before = self._manifest()
+        last, folder, far = self.last_day(), self.versions.attempt(), max(self.periods)
+        late.where(F.col("entity").isNotNull() & F.col("day").between(F.lit(self.start), F.lit(last))).select("entity", "day", "total", "n").write.parquet(f"{folder}/daily")
+        reached = self.spark.read.parquet(f"{folder}/daily").select("entity", F.col("day").alias("_from"), "total", "n", F.explode(F.expr(f"sequence(day, date_add(day, {far - 1}))")).alias("day"))
+        inside = lambda w: F.col("day") < F.date_add("_from", w)
+        change = reached.where(F.col("day") <= F.lit(last)).groupBy("entity", "day").agg(*(F.sum(F.when(inside(w), F.col(k)).otherwise(0)).cast("bigint").alias(f"d_{k}_{w}") for w in self.periods for k in ("total", "n")))
+        out = self.state().join(change, ["entity", "day"]).select("entity", "day", *((F.col(c) + F.col(f"d_{c}")).alias(c) for c in kinds(self.periods)), (F.col("version") + 1).alias("version"))
+        out.write.parquet(f"{folder}/state")
+        self._commit(version + 1, before, folder, last)
+        return version + 1
+
+    def state(self, version: int | None = None) -> DataFrame:
+        """entity, day, total_W, n_W, version of every entity and day, as of a version of the store or now."""
+        rows = self._read(self._manifest(version)[1], "state")
+        if rows is None:
+            raise ValueError("nothing was taken in yet")
+        names = [*kinds(self.periods), "version"]
+        return rows.groupBy("entity", "day").agg(F.max_by(F.struct(*names), "version").alias("_")).select("entity", "day", "_.*")

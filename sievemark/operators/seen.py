@@ -1,25 +1,33 @@
 """Messages delivered more than once: exactly one delivery of each comes out.
 
-Identifiers are dictionary-encoded exactly: each key belongs to a shard (by hash) and has a dense code in it.
-A shard's seen-bitmap has one bit for each code, in buckets of 32,768 bits that Parquet compresses (full
-buckets shrink to a few bytes). A batch is admitted in these steps, all of them shuffles on high-cardinality
-keys: pre-aggregate the batch to one row a key (its first delivery; the map side combines, so a key that holds
-a third of all rows sends one row a task); look its code up or give it the next one; keep the keys whose bit
-is unset; write the union of old and new bits as a new version, and commit that version by one rename.
-
-The dictionary may run ahead of the bitmaps: a version that isn't committed isn't read. A batch that is
-admitted again after its commit gives no rows.
+Identifiers are dictionary-encoded exactly: a key (scope, identifier) gets a shard and a dense code in it. A shard is what
+one task of one batch numbers, so codes need neither a sort nor a shuffle of their own, and the number of shards follows the
+number of keys. A shard's seen-bitmap has one bit for each code, in buckets of 32,768 bits that Parquet compresses (full
+buckets shrink to a few bytes). A batch is admitted so:
+
+1. pre-aggregate it to one row a key, its first delivery (the map side combines, so a key that holds a third of all rows
+   sends one row a task). This is the one shuffle of the batch;
+2. look the keys up in the dictionary. A small batch is sent to the dictionary's tasks, so that the dictionary isn't shuffled;
+   the planner decides that by the size it measured;
+3. keys that are not in it get the next codes, in the same tasks;
+4. of known keys, those whose bit is unset are admitted too;
+5. the union of old and new bits of the buckets concerned is written, and all of it counts by one atomic commit.
+
+If another writer commits meanwhile, the batch is admitted again on top of that. Folders of the dictionary and the bitmaps are
+merged by levels, so their number stays logarithmic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .versions import Versions
+from .versions import Conflict, Versions, merged
 
 #: Spark's bitmap functions use buckets of so many bits.
 BUCKET_BITS = 32_768
+#: How often a batch is admitted anew because other writers came first.
+TRIES = 20
 
 
 def bit_is_set(bits: Column, position: Column) -> Column:
@@ -28,72 +36,112 @@ def bit_is_set(bits: Column, position: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
-class SeenBitmaps:
-    """Dictionary and bitmaps under `root`, a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, root: str, shards: int = 64):
-        self.spark, self.versions, self.shards = spark, Versions(spark, root), shards
+def _bucket(code: str = "code") -> list[Column]:
+    return [F.shiftright(code, 15).alias("bucket"), (F.col(code) % BUCKET_BITS).alias("position")]
 
-    def _read(self, part: str, before: int | None = None) -> DataFrame | None:
-        done = [v for v in self.versions.committed() if before is None or v < before]
-        return self.spark.read.parquet(*(self.versions.path(v, part) for v in done)) if done else None
 
-    def dictionary(self) -> DataFrame | None:
-        """scope, ident, shard, code of each key of the committed versions."""
-        codes = self._read("codes")
-        return codes.where("fresh").select("scope", "ident", "shard", "code") if codes is not None else None
-
-    def bitmaps(self, before: int | None = None) -> DataFrame | None:
-        """shard, bucket, bits: the newest state of each bucket, or that before a version."""
-        bits = self._read("bits", before)
-        return bits.groupBy("shard", "bucket").agg(F.max_by("bits", "version").alias("bits")) if bits is not None else None
-
-    def _unseen(self, version: int) -> DataFrame:
-        """shard, bucket, position, first of the keys of a version's batch whose bit was unset before it."""
-        codes = self.spark.read.parquet(self.versions.path(version, "codes")).select("shard", F.shiftright("code", 15).alias("bucket"), (F.col("code") % BUCKET_BITS).alias("position"), "first")
-        bits = self.bitmaps(before=version)
-        return codes if bits is None else codes.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("position"))).drop("bits")
+class SeenBitmaps:
+    """Dictionary and bitmaps under `root`, a folder that all executors share."""
 
-    def admit(self, batch: DataFrame, scope: str, ident: str, order: str, tag: str = "") -> DataFrame:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.versions = spark, Versions(spark, root)
+
+    def _read(self, state: dict, part: str) -> DataFrame | None:
+        folders = [path for _, path in state.get(part, [])]
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def dictionary(self, version: int | None = None) -> DataFrame | None:
+        """scope, ident, shard, code of each key of a version, the last one if not given; None before the first."""
+        codes = self._read(self.versions.manifest(self.versions.latest() if version is None else version), "codes")
+        return codes if codes is None else codes.select("scope", "ident", "shard", "code")
+
+    def bitmaps(self, version: int | None = None) -> DataFrame | None:
+        """shard, bucket, bits: the state of each bucket in a version, the last one if not given."""
+        return self._newest(self.versions.manifest(self.versions.latest() if version is None else version))
+
+    def _newest(self, state: dict) -> DataFrame | None:
+        bits = self._read(state, "bits")
+        return bits if bits is None else bits.groupBy("shard", "bucket").agg(F.max_by("bits", "version").alias("bits"))
+
+    def _admitted(self, folder: str, order: str) -> DataFrame:
+        """What the attempt in a folder admitted."""
+        fresh, again = (self.spark.read.parquet(f"{folder}/{part}").select(F.col("first").alias(order)) for part in ("codes", "again"))
+        return fresh.unionByName(again)
+
+    def _repeated(self, version: int, source: str, number: int) -> str | None:
+        """The folder in which a batch of this source and number was committed."""
+        while version:
+            mine = self.versions.manifest(version).get("sources", {}).get(source)
+            if mine is None or mine[0] <= number:
+                return mine[1] if mine and mine[0] == number else None
+            version = mine[2] - 1  # the version before the one that has the later number
+        return None
+
+    def admit(self, batch: DataFrame, scope: str, ident: str, order: str, tag: tuple[str, int] | None = None) -> DataFrame:
         """Of each key (scope, ident) not seen before, the value of `order` of its first delivery in this batch.
 
-        Runs: the version with the new bits is written and committed before this returns. Rows whose ident is
-        null have no key: they are not in the result, and the caller keeps each. A null scope is a scope of its
-        own. Ties on `order` give that value once. An empty batch commits an empty version. Other columns of
-        the batch, whatever their names, aren't looked at. If the last version was committed under the same
-        tag (not empty), the batch is a repetition of that one, and what was admitted then is given again.
+        Runs: what it admits is committed before this returns. Rows whose ident is null have no key: they are not
+        in the result, and the caller keeps each. A null scope is a scope of its own. Ties on `order` give that
+        value once. An empty batch commits an empty version. Other columns of the batch, whatever their names,
+        aren't looked at. tag: who sends the batches, and the number of this one; numbers of a sender don't decrease. A
+        batch of a sender and number that was committed before is a repetition, and what was admitted then is given again.
         """
-        version = self.versions.next()
-        if tag and version > 1 and self.versions.tag(version - 1) == tag:
-            return self._unseen(version - 1).select(F.col("first").alias(order))
-        self.versions.clear(version)
-        known, bits = self.dictionary(), self.bitmaps()
-        key = [F.col(scope).alias("scope"), F.col(ident).alias("ident")]
-        first = batch.where(F.col(ident).isNotNull()).select(*key, F.col(order).alias("first")).groupBy("scope", "ident").agg(F.min("first").alias("first"))
-        first = first.withColumn("shard", F.pmod(F.xxhash64("scope", "ident"), F.lit(self.shards)).cast("int"))
-        if known is None:
-            fresh, old = first, None
-        else:
-            k = known.alias("k")
-            joined = first.alias("f").join(k, F.col("f.scope").eqNullSafe(F.col("k.scope")) & (F.col("f.ident") == F.col("k.ident")), "left").select("f.scope", "f.ident", "f.first", "f.shard", "k.code")
-            fresh, old = joined.where("code IS NULL").drop("code"), joined.where("code IS NOT NULL")
-        number = F.row_number().over(Window.partitionBy("shard").orderBy("scope", "ident")).cast("bigint") - 1
-        fresh = fresh.withColumn("code", number)
+        for _ in range(TRIES):
+            version = self.versions.latest()
+            state = self.versions.manifest(version)
+            if tag and (folder := self._repeated(version, *tag)):
+                return self._admitted(folder, order)
+            folder = self.versions.attempt()
+            state = self._write(batch, scope, ident, order, version + 1, state, folder)
+            if tag:
+                state["sources"] = {**state["sources"], tag[0]: [tag[1], folder, version + 1]}
+            try:
+                self.versions.commit(version + 1, state)
+            except Conflict:
+                continue
+            return self._admitted(folder, order)
+        raise Conflict(f"other writers came first {TRIES} times")
+
+    def _write(self, batch: DataFrame, scope: str, ident: str, order: str, version: int, state: dict, folder: str) -> dict:
+        """Writes what a batch adds to a state; gives the state after it."""
+        save = lambda df, to: df.write.option("compression", "zstd").parquet(to)
+        read, known = self.spark.read.parquet, self._read(state, "codes")
+        keys = batch.where(F.col(ident).isNotNull()).select(F.col(scope).alias("scope"), F.col(ident).alias("ident"), F.col(order).alias("first"))
+        fresh = keys.groupBy("scope", "ident").agg(F.min("first").alias("first"))
+        same = lambda a, b: a["scope"].eqNullSafe(b["scope"]) & (a["ident"] == b["ident"])
+        if known is not None:
+            save(fresh, f"{folder}/keys")
+            fresh = read(f"{folder}/keys")
+            save(known.join(fresh, same(known, fresh)).select(known["scope"], known["ident"], "shard", "code", fresh["first"]), f"{folder}/known")
+            hit = read(f"{folder}/known")
+            fresh = fresh.join(hit, same(fresh, hit), "left_anti")
+        # a task numbers its rows from 0: the upper bits of the number are the task, the lower ones the row
+        place = F.monotonically_increasing_id()
+        shard = F.shiftleft(F.lit(version).cast("bigint"), 31) + F.shiftright("place", 33)
+        save(fresh.withColumn("place", place).select("scope", "ident", shard.alias("shard"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("code"), "first"), f"{folder}/codes")
+        codes, bits = read(f"{folder}/codes").select("shard", *_bucket()), self._newest(state)
+        unseen = self.spark.createDataFrame([], "shard bigint, code bigint, first bigint")
         if known is not None:
-            used = known.groupBy("shard").agg((F.max("code") + 1).alias("used"))  # a row a shard
-            fresh = fresh.join(used, "shard", "left").withColumn("code", F.col("code") + F.coalesce("used", F.lit(0))).drop("used")
-        codes = fresh.withColumn("fresh", F.lit(True))
-        if old is not None:
-            codes = codes.unionByName(old.withColumn("fresh", F.lit(False)))
-        codes.select("scope", "ident", "shard", "code", "first", "fresh").write.option("compression", "zstd").parquet(self.versions.path(version, "codes"))
-
-        unseen = self._unseen(version)
-        new = unseen.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+            hit = hit.select("shard", "code", "first", *_bucket())
+            hit = hit.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("position")))
+            unseen = hit.select("shard", "code", "first")
+        save(unseen.withColumn("first", F.col("first").cast(batch.schema[order].dataType)), f"{folder}/again")
+        again = read(f"{folder}/again").select("shard", *_bucket())
+        new = codes.unionByName(again).groupBy("shard", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
         if bits is not None:
-            new = bits.join(new.select("shard", "bucket"), ["shard", "bucket"], "left_semi").unionByName(new).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        new.withColumn("version", F.lit(version)).write.option("compression", "zstd").parquet(self.versions.path(version, "bits"))
-        self.versions.commit(version, tag)
-        return unseen.select(F.col("first").alias(order))
+            old = bits.join(again.select("shard", "bucket").distinct(), ["shard", "bucket"], "left_semi")
+            new = new.unionByName(old).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        save(new.withColumn("version", F.lit(version)), f"{folder}/bits")
+
+        def codes_of(level: int, paths: list[str]) -> str:
+            save(read(*paths), to := f"{folder}/codes-{level}")
+            return to
+
+        def bits_of(level: int, paths: list[str]) -> str:
+            save(read(*paths).groupBy("shard", "bucket").agg(F.max_by("bits", "version").alias("bits"), F.max("version").alias("version")), to := f"{folder}/bits-{level}")
+            return to
+
+        return {"codes": merged(state.get("codes", []), [0, f"{folder}/codes"], codes_of), "bits": merged(state.get("bits", []), [0, f"{folder}/bits"], bits_of), "sources": state.get("sources", {})}
 
     def count(self) -> int:
         """How many keys have been admitted."""
@@ -106,11 +154,10 @@ def further_copies(batch: DataFrame, admitted: DataFrame, ident: str, order: str
     return batch.where(F.col(ident).isNotNull()).select(order).join(admitted.select(order), order, "left_anti")
 
 
-def first_deliveries(deliveries: DataFrame, scope: str, ident: str, order: str, *payload: str) -> DataFrame:
-    """The first delivery of each message with its payload, without state and in one shuffle.
+def first_deliveries(deliveries: DataFrame, scope: str, ident: str, order: str) -> DataFrame:
+    """The value of `order` of the first delivery of each message, without state and in one shuffle of keys.
 
     A row without identifier is a message of its own. The map side combines, so hot keys stay small.
     """
     own = F.when(F.col(ident).isNull(), F.col(order))
-    picked = deliveries.groupBy(F.col(scope).alias("_s"), F.col(ident).alias("_i"), own.alias("_o")).agg(F.min(F.struct(order, *payload)).alias("_first"))
-    return picked.select("_first.*")
+    return deliveries.groupBy(F.col(scope).alias("_s"), F.col(ident).alias("_i"), own.alias("_o")).agg(F.min(order).alias(order)).select(order)

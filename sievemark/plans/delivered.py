@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.idents import hex_ident
+from ..functions.idents import ident_key
 from ..operators.seen import first_deliveries
 from ..sources.tables import table
 
@@ -14,25 +14,24 @@ BROADCAST_ORGS = 100_000
 
 
 def stored(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """delivery_id, org_id, ident and the named columns of sync_events."""
+    """delivery_id, org_id, ident (as bytes) and the named columns of sync_events."""
     rows = table(spark, folder, "sync_events")
-    return rows.select("delivery_id", "org_id", hex_ident(F.col("id")).alias("ident"), *columns)
+    return rows.select("delivery_id", "org_id", ident_key(F.col("id")).alias("ident"), *columns)
 
 
 def waiting(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """delivery_id, org_id, ident and the named columns of event_in, without rows whose key hash no organisation has."""
+    """delivery_id, org_id, ident (as bytes) and the named columns of event_in, without rows whose key hash no organisation has."""
     orgs = table(spark, folder, "organizations", "api_key_hash", F.col("id").alias("org_id")).where("api_key_hash IS NOT NULL")
     if orgs.limit(BROADCAST_ORGS + 1).count() <= BROADCAST_ORGS:
         orgs = F.broadcast(orgs)
-    return table(spark, folder, "event_in").join(orgs, "api_key_hash").select("delivery_id", "org_id", hex_ident(F.col("event_id")).alias("ident"), *columns)
+    return table(spark, folder, "event_in").join(orgs, "api_key_hash").select("delivery_id", "org_id", ident_key(F.col("event_id")).alias("ident"), *columns)
 
 
 def kept(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """delivery_id, org_id and the named columns of the rows of sync_events that aren't further copies of a message."""
-    names = ["_stored", "org_id", *columns]
-    # organisations have one key each; a message whose first delivery still waits keeps no stored row
-    a = stored(spark, folder, *columns).withColumn("_stored", F.lit(True))
-    kinds = {f.name: f.dataType for f in a.schema}
-    b = waiting(spark, folder).select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in columns), F.lit(False).alias("_stored"))
-    rows = a.unionByName(b).withColumn("_org", F.col("org_id"))
-    return first_deliveries(rows, "_org", "ident", "delivery_id", *names).where("_stored").drop("_stored")
+    """delivery_id, org_id and the named columns of the rows of sync_events that aren't further copies of a message.
+
+    The first deliveries are found on the keys alone, by hash; the rows with their other columns are then picked by their unique
+    delivery_id, which no hot key can skew. A message whose first delivery still waits keeps no stored row.
+    """
+    first = first_deliveries(stored(spark, folder).unionByName(waiting(spark, folder)), "org_id", "ident", "delivery_id")
+    return table(spark, folder, "sync_events", "delivery_id", "org_id", *columns).join(first, "delivery_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,70 +13,82 @@ from ..sources.tables import table
 from .delivered import kept, stored, waiting
 
 
-def _deduplicated(spark: SparkSession, folder: str, shards: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, seen.SeenBitmaps]:
-    """The two batches with what was admitted of them, in the order in which they came: the stored log, then what waits."""
-    shards = shards or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store = seen.SeenBitmaps(spark, scratch(spark, "seen"), shards)
-    out = []
-    for batch in (stored(spark, folder), waiting(spark, folder)):
-        out += [batch, store.admit(batch, "org_id", "ident", "delivery_id")]
-    batches = out[0].select("delivery_id", "ident").unionByName(out[2].select("delivery_id", "ident"))
-    return batches, out[1].unionByName(out[3]), out[0], store
+def _deduplicated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The deliveries and what was admitted of them, in the order in which they came: the stored log, then what waits."""
+    store = seen.SeenBitmaps(spark, scratch(spark, "seen"))
+    batches = [stored(spark, folder), waiting(spark, folder)]
+    first, second = (store.admit(b, "org_id", "ident", "delivery_id") for b in batches)
+    return batches[0].unionByName(batches[1]).select("delivery_id", "ident"), first.unionByName(second)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """delivery_id of each further copy of a message."""
-    batches, admitted, _, _ = _deduplicated(spark, folder)
+    batches, admitted = _deduplicated(spark, folder)
     return seen.further_copies(batches, admitted, "ident", "delivery_id")
 
 
 def p1_admitted(spark: SparkSession, folder: str) -> DataFrame:
     """delivery_id of the one delivery of each message, those without identifier included."""
-    batches, admitted, _, _ = _deduplicated(spark, folder)
+    batches, admitted = _deduplicated(spark, folder)
     return admitted.unionByName(batches.where("ident IS NULL").select("delivery_id"))
 
 
-def _sliced(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return panes.sliced(kept(spark, folder, "timestamp", "created_at", *columns))
+#: The most batches that the queries of problem 2 make of a log.
+MOST_BATCHES = 6
+
+
+def _paned(spark: SparkSession, folder: str, size: int) -> panes.PaneStore:
+    """A store into which the kept rows of sync_events have come by month of arrival: successive months together if there are more than MOST_BATCHES."""
+    month = F.trunc("created_at", "month")
+    months = sorted(r[0] for r in table(spark, folder, "sync_events", "created_at").where("created_at IS NOT NULL").select(month).distinct().toLocalIterator())
+    starts = months[:: -(-len(months) // MOST_BATCHES) or 1]
+    number = sum(((month >= F.lit(m)).cast("int") for m in starts[1:]), F.lit(0))
+    rows = panes.sliced(kept(spark, folder, "timestamp", "created_at", "risk_score")).where("kind IS NOT NULL")
+    rows.select("delivery_id", "org_id", "risk_score", "pane", "arrived", "kind", number.alias("batch")).write.partitionBy("batch").option("compression", "zstd").parquet(to := scratch(spark, "sliced"))
+    written = spark.read.schema("delivery_id bigint, org_id string, risk_score smallint, pane date, arrived date, kind string, batch int").parquet(to)
+    store = panes.PaneStore(spark, scratch(spark, "panes"), ["org_id"], size)
+    for k in range(max(1, len(starts))):
+        store.apply(written.where(F.col("batch") == k), "risk_score", "delivery_id", tag=("sync_events", k))
+    return store
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """delivery_id and kind of the kept rows that came late or beyond the cut-off."""
-    return _sliced(spark, folder).where("kind IN ('cut', 'late')").select("delivery_id", "kind")
+    """delivery_id and kind of the kept rows that came late or beyond the cut-off, as the store of panes reported them."""
+    return _paned(spark, folder, 1).reported()
 
 
 def p2_daily(spark: SparkSession, folder: str) -> DataFrame:
     """The current figures of each organisation and day, with the number of the last revision."""
-    changes = panes.pane_changes(_sliced(spark, folder, "risk_score"), ["org_id"], "risk_score")
-    now = panes.current_windows(panes.window_revisions(changes, ["org_id"], 1), ["org_id"])
-    return now.select("org_id", F.col("window_end").cast("string").alias("day"), "revision", "n", "total")
+    return _paned(spark, folder, 1).current().select("org_id", F.col("window_end").cast("string").alias("day"), "revision", "n", "total")
 
 
 def p2_weekly_revisions(spark: SparkSession, folder: str) -> DataFrame:
     """Every emission of the windows of seven panes."""
-    changes = panes.pane_changes(_sliced(spark, folder, "risk_score"), ["org_id"], "risk_score")
-    out = panes.window_revisions(changes, ["org_id"], 7)
-    return out.select("org_id", F.col("window_end").cast("string").alias("window_end"), F.col("arrived").cast("string").alias("arrived"), "revision", "n", "total")
+    return _paned(spark, folder, 7).emissions().select("org_id", F.col("window_end").cast("string").alias("window_end"), F.col("arrived").cast("string").alias("arrived"), "revision", "n", "total")
 
 
-#: The range of days that p5 reports.
-FIRST_DAY, LAST_DAY = "2025-04-01", "2025-06-30"
+#: The range of days that p5 reports, and how many days a step of its state takes in.
+FIRST_DAY, LAST_DAY, STEP = dt.date(2025, 4, 1), dt.date(2025, 6, 30), 30
 
 
 def _rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """The state after its two versions: from the rows that came in time, then corrected by the late ones."""
-    rows = kept(spark, folder, "timestamp", "created_at", "risk_score")
+    """The state after the last day: stepped on by what came in time, then corrected by the late rows.
+
+    The first day's 30 days begin 29 days before it; what happened earlier or later is in no period that is reported.
+    """
+    start = FIRST_DAY - dt.timedelta(days=max(rolling.PERIODS) - 1)
+    rows = panes.sliced(kept(spark, folder, "timestamp", "created_at", "risk_score"))
     # a row without created_at can't be cut: it counts as in time
-    rows = panes.sliced(rows).where("pane IS NOT NULL AND coalesce(kind, 'in_time') <> 'cut'").withColumn("late", F.coalesce(F.col("kind") == "late", F.lit(False)))
-    both = rows.groupBy("org_id", "pane").agg(
-        F.sum(F.when(~F.col("late"), F.coalesce("risk_score", F.lit(0))).otherwise(0)).cast("bigint").alias("t0"),
-        F.count_if(~F.col("late")).alias("n0"),
-        F.sum(F.when(F.col("late"), F.coalesce("risk_score", F.lit(0))).otherwise(0)).cast("bigint").alias("t1"),
-        F.count_if("late").alias("n1"),
-    )
-    amounts = lambda k: both.where(f"n{k} > 0").select(F.col("org_id").alias("entity"), F.col("pane").alias("day"), F.col(f"t{k}").alias("total"), F.col(f"n{k}").alias("n"))
-    days = rolling.spine(table(spark, folder, "organizations"), "id", F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
-    return rolling.corrected(rolling.rolling_state(amounts(0), days), amounts(1))
+    rows = rows.where(F.col("pane").between(F.lit(start), F.lit(LAST_DAY)) & (F.coalesce("kind", F.lit("in_time")) != "cut")).withColumn("late", F.coalesce(F.col("kind") == "late", F.lit(False)))
+    amounts = rows.groupBy(F.col("org_id").alias("entity"), F.col("pane").alias("day"), "late").agg(F.sum(F.coalesce("risk_score", F.lit(0))).cast("bigint").alias("total"), F.count(F.lit(1)).alias("n"))
+    amounts.write.parquet(to := scratch(spark, "amounts"))
+    amounts = spark.read.parquet(to)
+    store = rolling.RollingStore(spark, scratch(spark, "rolling"), start)
+    entities = table(spark, folder, "organizations", F.col("id").alias("entity"))
+    while store.last_day() < LAST_DAY:
+        store.advance(amounts.where("NOT late"), entities, min(LAST_DAY, store.last_day() + dt.timedelta(days=STEP)))
+    store.correct(amounts.where("late").groupBy("entity", "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+    return store.state().where(F.col("day") >= F.lit(FIRST_DAY))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

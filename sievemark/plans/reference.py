@@ -297,12 +297,12 @@ def s6_count(spark, folder):
 
 
 @_query("""WITH j AS (SELECT e.*, o.id AS org_id FROM event_in e LEFT JOIN organizations o ON o.api_key_hash = e.api_key_hash)
-  SELECT batch_id, count(*) AS n, count(*) FILTER (NOT coalesce("timestamp" IS NOT NULL AND risklevel IN ('SAFE', 'CAUTION', 'HIGH') AND riskscore BETWEEN 0 AND 100, false)) AS bad,
-    count(*) FILTER (NOT coalesce("timestamp" IS NOT NULL AND risklevel IN ('SAFE', 'CAUTION', 'HIGH') AND riskscore BETWEEN 0 AND 100, false)) = 0 AND count(*) <= 1000 AS accepted FROM j WHERE org_id IS NOT NULL GROUP BY batch_id""")
+  SELECT batch_id, count(*) AS n, count(*) FILTER (NOT coalesce("timestamp" IS NOT NULL AND llm IS NOT NULL AND userdecision IS NOT NULL AND risklevel IN ('SAFE', 'CAUTION', 'HIGH') AND riskscore BETWEEN 0 AND 100, false)) AS bad,
+    count(*) FILTER (NOT coalesce("timestamp" IS NOT NULL AND llm IS NOT NULL AND userdecision IS NOT NULL AND risklevel IN ('SAFE', 'CAUTION', 'HIGH') AND riskscore BETWEEN 0 AND 100, false)) = 0 AND count(*) <= 1000 AS accepted FROM j WHERE org_id IS NOT NULL GROUP BY batch_id""")
 def s8_checked_batches(spark, folder):
     """Uploads with a known key: which are let in whole."""
     known, _ = ingest.with_organisation(table(spark, folder, "event_in"), table(spark, folder, "organizations"), "api_key_hash")
-    return ingest.checked(known, "batch_id", "risklevel", "riskscore", "timestamp")
+    return ingest.checked(known, "batch_id", "risklevel", "riskscore", "timestamp", "llm", "userdecision")
 
 
 @_query("SELECT e.delivery_id FROM event_in e WHERE NOT EXISTS (SELECT 1 FROM organizations o WHERE o.api_key_hash = e.api_key_hash)")
@@ -395,8 +395,9 @@ def a5_trend(spark, folder):
     return analytics.trend(events(spark, folder).select("org_id", "ms", "risk_score"), "org_id", ms="ms")
 
 
-_STREAK = f"""WITH {_EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ms DESC NULLS LAST, delivery_id) AS k FROM events_),
-  f AS (SELECT org_id, min(k) FILTER (threat_count IS NULL OR threat_count <> 0) AS stop, count(*) AS total, count(*) FILTER (threat_count > 0) AS threats, count(*) FILTER (user_decision = 'REDACTED') AS red FROM o GROUP BY org_id)
+_STREAK_CTE = f"""WITH {_EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ms DESC NULLS LAST, delivery_id) AS k FROM events_),
+  f AS (SELECT org_id, min(k) FILTER (threat_count IS NULL OR threat_count <> 0) AS stop, count(*) AS total, count(*) FILTER (threat_count > 0) AS threats, count(*) FILTER (user_decision = 'REDACTED') AS red FROM o GROUP BY org_id)"""
+_STREAK = f"""{_STREAK_CTE}
   SELECT org_id, total, threats AS threats_caught, CAST(CASE WHEN threats > 0 THEN floor(red / threats * 100 + 0.5) ELSE 0 END AS BIGINT) AS redaction_rate, coalesce(stop - 1, total) AS clean_streak FROM f"""
 
 
@@ -422,11 +423,15 @@ def a8_breakdown(spark, folder):
 SINCE = 1_749_945_600_000
 
 
-@_query(f"""WITH {_EVENTS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY org_id, coalesce(threat_count, 0) > 0 ORDER BY ms DESC NULLS LAST, delivery_id) AS k FROM events_)
-  SELECT org_id, count(*) AS stored_events, count(*) FILTER (ms >= {SINCE}) AS today_scans, count(*) FILTER (ms >= {SINCE} AND threat_count > 0) AS today_threats, count(*) FILTER (threat_count > 0) AS threats_caught,
-    max(ms) FILTER (k = 1 AND threat_count > 0) AS last_threat_at, max(array_to_string(threat_categories, '|')) FILTER (k = 1 AND threat_count > 0) AS last_categories FROM t GROUP BY org_id""")
+@_query(f"""{_STREAK_CTE}, t AS (SELECT *, row_number() OVER (PARTITION BY org_id, coalesce(threat_count, 0) > 0 ORDER BY ms DESC NULLS LAST, delivery_id) AS k FROM events_),
+  c AS (SELECT org_id, count(*) AS stored_events, count(*) FILTER (ms >= {SINCE}) AS today_scans, count(*) FILTER (ms >= {SINCE} AND threat_count > 0) AS today_threats, count(*) FILTER (threat_count > 0) AS threats_caught,
+    max(ms) FILTER (k = 1 AND threat_count > 0) AS last_threat_at, max(array_to_string(threat_categories, '|')) FILTER (k = 1 AND threat_count > 0) AS last_categories FROM t GROUP BY org_id)
+  SELECT c.*, stored_events + 7 AS total_scans, coalesce(stop - 1, total) AS clean_streak FROM c JOIN f USING (org_id)""")
 def a9_popup_stats(spark, folder):
-    out = analytics.popup_stats(events(spark, folder).select("org_id", "ms", "delivery_id", "threat_count", "threat_categories"), SINCE, "org_id", ms="ms")
+    """The figures of the popup; seven more scans than are stored stand for a lifetime counter."""
+    rows = events(spark, folder).select("org_id", "ms", "delivery_id", "threat_count", "threat_categories", "user_decision")
+    ever = rows.groupBy("org_id").agg((F.count(F.lit(1)) + 7).alias("total"))
+    out = analytics.popup_stats(rows, SINCE, "org_id", ms="ms", totals=ever)
     return out.select("*", F.array_join("last_threat_categories", "|").alias("last_categories")).drop("last_threat_categories")
 
 
@@ -436,6 +441,14 @@ def a12_percentiles(spark, folder):
     return analytics.exact_percentiles(table(spark, folder, "sync_events", "org_id", "processing_time_ms"), "processing_time_ms", [50, 95, 99], "org_id").withColumn("value", F.col("value").cast("double"))
 
 
+@_query("""WITH v AS (SELECT org_id, CAST(processing_time_ms AS DOUBLE) AS v, row_number() OVER (PARTITION BY org_id ORDER BY processing_time_ms) - 1 AS k, count(*) OVER (PARTITION BY org_id) AS n, sum(processing_time_ms) OVER (PARTITION BY org_id) AS s FROM sync_events WHERE processing_time_ms IS NOT NULL)
+  SELECT org_id, n, max(v) FILTER (k = n // 2) AS p50, max(v) FILTER (k = 95 * n // 100) AS p95, max(v) FILTER (k = 99 * n // 100) AS p99, round(CAST(s AS DOUBLE) / n, 6) AS mean FROM v GROUP BY org_id, n, s""")
+def a12_timings(spark, folder):
+    """Percentiles and mean of the times of each organisation."""
+    out = analytics.timings(table(spark, folder, "sync_events", "org_id", "processing_time_ms"), "processing_time_ms", "org_id")
+    return out.select("org_id", "n", *(F.col(c).cast("double").alias(c) for c in ("p50", "p95", "p99")), F.round("mean", 6).alias("mean"))
+
+
 @_query("SELECT delivery_id FROM sync_events WHERE risk_level = 'HIGH' AND llm = 'Claude'")
 def flt7_filter_history(spark, folder):
     return analytics.filtered(table(spark, folder, "sync_events", "delivery_id", "risk_level", "llm"), "HIGH", "Claude").select("delivery_id")

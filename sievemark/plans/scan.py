@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import plain_spaces
+from ..functions.dialect import EXOTIC_SPACES, SPACES, plain_spaces
 from ..functions.dictionary import CATEGORIES, PATTERNS, Pattern
 from ..operators import detect
 from ..operators.redact import merge_spans, redact
@@ -83,9 +83,16 @@ def scan(rows: DataFrame, text: str = "text", sensitivity: str | Column = "MEDIU
     return step.select(*keep, *(F.when(once, c).alias(k) for k, c in result.items()))
 
 
-def event_of(scanned: DataFrame, id: str, stamp: Column, llm: Column, decision: Column) -> DataFrame:
-    """What may be stored of a scan: never a text, a value or a redacted text."""
-    return scanned.select(F.col(id).cast("string").alias("id"), stamp.alias("timestamp"), llm.alias("llm"), F.col("level").alias("risk_level"), F.col("score").alias("risk_score"), "threat_categories", "threat_count", decision.alias("user_decision"), F.lit(0.0).alias("processing_time_ms"), "pattern_match_count")
+def prompts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with their texts trimmed of white space, also beyond ASCII, on both sides; those without anything else, and nulls, are dropped."""
+    space = f"[{SPACES}{EXOTIC_SPACES}]"
+    trimmed = F.regexp_replace(F.col(text), rf"\A{space}+|{space}+\z", "")
+    return rows.withColumn(text, trimmed).where(F.col(text) != "")
+
+
+def event_of(scanned: DataFrame, id: str, stamp: Column, llm: Column, decision: Column, *more: str) -> DataFrame:
+    """What may be stored of a scan, and the columns `more`: never a text, a value or a redacted text. The time that a text took is not known, as rows are processed together: null."""
+    return scanned.select(F.col(id).cast("string").alias("id"), stamp.alias("timestamp"), llm.alias("llm"), F.col("level").alias("risk_level"), F.col("score").alias("risk_score"), "threat_categories", "threat_count", decision.alias("user_decision"), F.lit(None).cast("double").alias("processing_time_ms"), "pattern_match_count", *more)
 
 
 def pattern_of_row(row) -> Pattern:

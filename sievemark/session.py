@@ -25,13 +25,15 @@ def get_spark(cores: str = "*", partitions: int = 8, app: str = "sievemark", **c
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (one machine, as in tests) a folder of our own is made and set."""
+    """The folder named by spark.checkpoint.dir, or the one set in the context. Only on one machine (a local master, as in tests) a folder of our own is made and set; on a cluster that names none this is an error, as a machine's own folder would be lost with it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievemark-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

@@ -20,9 +20,9 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.col("h").alias("request_id"), "r.api_key", "r.events")
 
 
-def valid(level: Column, score: Column, stamp: Column) -> Column:
-    """Whether an event may be stored: a time, a level of SAFE, CAUTION, HIGH, a score from 0 to 100. Nulls are not valid."""
-    return F.coalesce(stamp.isNotNull() & level.isin("SAFE", "CAUTION", "HIGH") & score.between(0, 100), F.lit(False))
+def valid(level: Column, score: Column, stamp: Column, llm: Column, decision: Column) -> Column:
+    """Whether an event may be stored: a time, a service, a decision, a level of SAFE, CAUTION, HIGH, a score from 0 to 100. Nulls are not valid, empty texts are."""
+    return F.coalesce(stamp.isNotNull() & llm.isNotNull() & decision.isNotNull() & level.isin("SAFE", "CAUTION", "HIGH") & score.between(0, 100), F.lit(False))
 
 
 def key_hash(api_key: Column) -> Column:
@@ -37,9 +37,9 @@ def with_organisation(rows: DataFrame, organisations: DataFrame, hash_column: st
     return joined.where("org_id IS NOT NULL"), joined.where("org_id IS NULL")
 
 
-def checked(requests: DataFrame, batch: str, level: str, score: str, stamp: str, limit: int = BATCH_LIMIT) -> DataFrame:
+def checked(requests: DataFrame, batch: str, level: str, score: str, stamp: str, llm: str, decision: str, limit: int = BATCH_LIMIT) -> DataFrame:
     """batch, n, bad, accepted of each request: one bad event, or more than `limit` events, reject the whole. Partial sums before the shuffle."""
-    out = requests.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid(F.col(level), F.col(score), F.col(stamp))).alias("bad"))
+    out = requests.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid(*map(F.col, (level, score, stamp, llm, decision)))).alias("bad"))
     return out.withColumn("accepted", (F.col("bad") == 0) & (F.col("n") <= limit))
 
 
@@ -52,7 +52,7 @@ def stored_form(events: DataFrame) -> DataFrame:
 def accepted_events(requests: DataFrame, organisations: DataFrame) -> DataFrame:
     """org_id, request_id and the stored form of the events of read_requests that are let in."""
     known, _ = with_organisation(requests.withColumn("_hash_of", key_hash(F.col("api_key"))), organisations, "_hash_of")
-    whole = known.where((F.size("events") <= BATCH_LIMIT) & F.forall("events", lambda e: valid(e["riskLevel"], e["riskScore"], e["timestamp"])))
+    whole = known.where((F.size("events") <= BATCH_LIMIT) & F.forall("events", lambda e: valid(e["riskLevel"], e["riskScore"], e["timestamp"], e["llm"], e["userDecision"])))
     return stored_form(whole.select("org_id", "request_id", F.inline("events")))
 
 
