@@ -92,12 +92,15 @@ def popup_stats(events: DataFrame, since_ms: int, *keys: str, ms: str = "timesta
     newest = F.struct(F.coalesce(F.col(ms), F.lit(-(2**62))), -F.col(order))
     last = F.max_by(F.when(_threats(), F.struct(F.col(ms).alias("t"), F.col("threat_categories").alias("c"))), F.when(_threats(), newest))
     out = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored_events"), F.count_if(today).alias("today_scans"), F.count_if(today & _threats()).alias("today_threats"), last.alias("_last"))
-    same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
-    more = stats(events, *keys, ms=ms, order=order)
-    out = out.join(more, same(out, more)).drop(*(more[k] for k in keys))
+
+    def beside(df: DataFrame, *columns: str | Column) -> DataFrame:
+        other = df.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *columns)
+        inside = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.lit(True))
+        return out.join(other, inside, "left").drop(*(f"_of_{k}" for k in keys))
+
+    out = beside(stats(events, *keys, ms=ms, order=order), "threats_caught", "clean_streak")
     if totals is not None:
-        totals = totals.select(*keys, F.col("total").alias("_ever"))
-        out = out.join(totals, same(out, totals), "left").drop(*(totals[k] for k in keys))
+        out = beside(totals, F.col("total").alias("_ever"))
     ever = F.coalesce(F.nullif("_ever", F.lit(0)), F.col("stored_events")) if totals is not None else F.col("stored_events")
     return out.select(*keys, ever.alias("total_scans"), "stored_events", "today_scans", "today_threats", "threats_caught", "clean_streak", F.col("_last.t").alias("last_threat_at"), F.col("_last.c").alias("last_threat_categories"))
 
