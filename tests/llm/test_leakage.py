@@ -72,6 +72,10 @@ def test_passages_across_stretches(spark):
     items = spark.createDataFrame([(7, " ".join(ITEM))], "item_id bigint, text string")
     assert sorted(r.doc_id for r in leakage.leaked(docs, items).collect()) == sorted(k for k, _ in rows)
     assert leakage._stretches([["a"] * 1000]) == [[["a"] * 50] * 20] and leakage._stretches([]) == []
+    # the same for texts of three long lines
+    rows = [(k, "\n".join(" ".join(w[i : i + 734]) for i in (0, 734, 1468))) for k in range(720, 1500, 60) for w in [text(k, k) + ITEM[10:50] + text(2162 - k, k + 1)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in leakage.leaked(docs, items).collect()) == sorted(k for k, _ in rows)
 
 
 def test_passages_beside_unreadable_words(spark):
@@ -94,12 +98,64 @@ def test_next_best_alignment(monkeypatch):
 
 
 def test_long_items(spark):
-    """A passage of an item of several pieces is found wherever it stands, once."""
+    """A passage of an item of several pieces is found wherever it stands, once, with its whole length, whatever the pieces and stretches."""
     long = text(1500, 50)
-    docs = spark.createDataFrame([(k, "\n".join(page(text(50, 60 + k)) + page(long[k : k + 40]) + page(text(50, 90 + k)))) for k in range(0, 1450, 61)] + [(9999, "\n".join(page(long)))], "doc_id bigint, text string")
+    docs = [(k, "\n".join(page(text(50, 60 + k)) + page(long[k : k + 40]) + page(text(50, 90 + k)))) for k in range(0, 1450, 61)]
+    docs += [(9999, "\n".join(page(long))), (9998, "\n".join(page(long[200:800]))), (9997, " ".join(text(700, 3) + long[100:1300] + text(300, 4)))]
     items = spark.createDataFrame([(1, " ".join(long))], "item_id bigint, text string")
-    got = [tuple(r) for r in leakage.leaked(docs, items).select("doc_id", "item_id").collect()]
-    assert sorted(got) == sorted((r.doc_id, 1) for r in docs.collect())
+    got = {r.doc_id: r for r in leakage.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert sorted(got) == sorted(k for k, _ in docs)
+    size = {9999: 1500, 9998: 600, 9997: 1200} | {k: 40 for k in got if k < 9000}
+    assert all(size[k] - 4 <= r.matched <= r.words <= size[k] + 20 for k, r in got.items())  # words at the borders may be alike
+    # longer passages may be asked for than the pieces usually share
+    got = leakage.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), items, least=300).collect()
+    assert sorted(r.doc_id for r in got) == [9997, 9998, 9999]
+    with pytest.raises(ValueError):
+        leakage.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), items, least=leakage.MOST_ASKED + 1)
+
+
+def numbers(n, rng):
+    return [str(rng.randrange(10**6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.5])
+def test_corpora_of_any_size(share):
+    """A damaged passage that stands in any share of the documents is found in each, in small and large corpora alike."""
+    for size in (100, 1_000, 20_000):
+        rng = random.Random(6)
+        pages, want = [], []
+        for k in range(size):
+            hit = k % round(1 / share) == 0
+            middle = damaged(ITEM[10:40], k, 0.1) if hit else numbers(6, rng)
+            pages.append("\n".join(page(numbers(6, rng)) + page(middle) + page(numbers(6, rng))))
+            want += [k] * hit
+        items = leakage.Items([(7, " ".join(ITEM))])
+        alone = [set(zip(*map(lambda x: x.tolist(), items.alone(pages[i : i + 1000])))) for i in range(0, size, 1000)]
+        count = [0] * len(items.known)
+        for part in alone:
+            for _, g in part:
+                count[g] += 1
+        matcher = leakage.Matcher(items, leakage.np.array(count) / size)
+        got = [t for t, *_ in matcher.matches(pages, 0.85)]
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+
+
+def test_candidates_against_all_pairs():
+    """Every passage that an alignment of all pairs finds is a candidate."""
+    rng = random.Random(8)
+    items = leakage.Items([(k, " ".join(text(60, 500 + k))) for k in range(8)] + [(8, ""), (9, "one two three")])
+    pages = []
+    for k in range(60):
+        words = leakage.words("; ".join(items.words[k % 8]))
+        pages.append("\n".join(page(text(60, k)) + page(damaged(words[5 : 5 + rng.randrange(10, 50)], k, 0.1)) + page(text(60, k + 1))) if k % 3 else "")
+    share = leakage.np.zeros(len(items.known))
+    for t, g in set(zip(*map(lambda x: x.tolist(), items.alone(pages)))):
+        share[g] += 1 / len(pages)
+    some = leakage.Matcher(items, share)
+    every = leakage.Matcher(items, share)
+    every.candidates = lambda texts: [(t, k) for t, x in enumerate(texts) if x for k in range(9) if items.words[k]]
+    pick = lambda m: {(t, i) for t, i, *_ in m.matches(pages, 0.85)}
+    assert pick(some) == pick(every) and len(pick(some)) > 15
 
 
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
@@ -127,7 +183,7 @@ def test_alignment_against_a_plain_one(seed):
                 for j in range(m + 1):
                     new[j] = state[j] + leakage.MISS
                     if j:
-                        like = bool(leakage._alike([w], [item[j - 1]])[0, 0])
+                        like = bool(leakage._alike(leakage._masks([w]), leakage._masks([item[j - 1]]))[0, 0])
                         new[j] = max(new[j], state[j - 1] + (leakage.MATCH if like else leakage.MISS))
                 for _ in range(2):
                     new = [new[0]] + [max(new[j], new[j - 1] + leakage.LEFT_OUT) for j in range(1, m + 1)]
