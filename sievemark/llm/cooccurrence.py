@@ -1,9 +1,10 @@
 """Items that appear together: counts of pairs over all baskets, and how much more often than chance.
 
 Equal baskets are counted first, so each distinct basket makes its pairs once, with a weight. A basket of up to
-CHUNK items makes its pairs in place. A larger one is split into chunks; every pair of chunks is a row of its
-own, sent to any task by hash, and makes the product of its two chunks there, so that no task holds the pairs of a whole huge
-basket. Both kinds are summed together by pair, with partial sums before the shuffle.
+CHUNK items makes its pairs in place. A larger one is split into chunks, a row each; the pairs of chunks are made as numbers,
+a task at a time for each chunk, and then joined with the items of their two chunks, each pair going to a task by hash. It makes the
+product there, so that no task holds the pairs of a whole huge basket, nor a row all of its chunks. Both kinds are summed
+together by pair, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,13 +38,16 @@ def _within(items: Column) -> Column:
 def pair_counts(baskets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """a, b, n_ab with a < b: the rows that hold both items. baskets: items, weight as of distinct_baskets."""
     small = baskets.where((F.size("items") > 1) & (F.size("items") <= chunk)).select("weight", F.explode(_within(F.col("items"))).alias("p"))
-    large = baskets.where(F.size("items") > chunk)
-    large = large.select("weight", F.expr(f"transform(sequence(0, (size(items) - 1) div {chunk}), k -> slice(items, int(k * {chunk} + 1), {chunk}))").alias("chunks"))
-    large = large.select("weight", F.posexplode("chunks").alias("i", "left"), "chunks")
-    large = large.select("weight", "i", "left", F.expr("explode(slice(transform(chunks, (c, j) -> struct(int(j) AS j, c AS items)), i + 1, size(chunks)))").alias("r"))
-    large = large.select("weight", "left", F.col("r.items").alias("right"), (F.col("i") == F.col("r.j")).alias("same")).repartition(F.xxhash64("left", "right"))
+    # baskets are distinct, so their contents name them; a chunk's row holds its own items only
+    name = F.sha2(F.to_json("items"), 256)
+    large = baskets.where(F.size("items") > chunk).select(name.alias("name"), "weight", "items", ((F.size("items") - 1) / chunk).cast("int").alias("last"))
+    chunks = large.select("name", F.explode(F.expr(f"transform(sequence(0, last), k -> struct(k AS k, slice(items, k * {chunk} + 1, {chunk}) AS part))")).alias("c")).select("name", F.col("c.k").alias("k"), F.col("c.part").alias("part"))
+    left = large.select("name", "weight", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).repartition("name", "i")
+    ids = left.select("name", "weight", "i", F.explode(F.sequence(F.col("i"), F.col("last"))).alias("j"))
+    ids = ids.join(chunks.select("name", F.col("k").alias("i"), F.col("part").alias("left")), ["name", "i"])
+    both = ids.join(chunks.select("name", F.col("k").alias("j"), F.col("part").alias("right")), ["name", "j"])
     product = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    large = large.select("weight", F.explode(F.when(F.col("same"), _within(F.col("left"))).otherwise(product)).alias("p"))
+    large = both.select("weight", F.explode(F.when(F.col("i") == F.col("j"), _within(F.col("left"))).otherwise(product)).alias("p"))
     return small.unionByName(large).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("weight").alias("n_ab"))
 
 

@@ -33,8 +33,8 @@ WORD_SHARE, ADDED, LETTERS, RELIABLE, STRENGTH, SWITCH, TEMPER = 0.7, 0.05, 60,
 LEAST_LINES = 3
 #: Distinct words whose likelihoods a Python worker keeps.
 KEPT_WORDS = 300_000
-#: Languages, sources: up to so many are collected or broadcast; more sources are joined by a shuffle.
-MOST_LANGUAGES, BROADCAST_SOURCES = 500, 100_000
+#: Sources: up to so many are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -204,9 +204,7 @@ def page_languages(documents: DataFrame, codes: DataFrame, clean: DataFrame, key
     documents go through one narrow pass, with the priors of their sources joined (by broadcast up to BROADCAST_SOURCES sources).
     """
     spark = documents.sparkSession
-    named = [(r[0], r[1], r[2]) for r in codes.select("lang", "iso3", "english_name").where("lang IS NOT NULL").limit(MOST_LANGUAGES + 1).collect()]
-    if len(named) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    named = [(r[0], r[1], r[2]) for r in codes.select("lang", "iso3", "english_name").where("lang IS NOT NULL").distinct().collect()]  # a row a language; the standard has fewer than 8,000
     languages = sorted({two for two, *_ in named})
     given = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"), declared_language(F.col(label), named).alias("declared"))
     priors, overall = source_priors(given.select("source", "declared"), languages)

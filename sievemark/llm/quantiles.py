@@ -1,6 +1,7 @@
 """Percentiles of large groups from dyadic Count-sketches that add up over parts and support deletions.
 
-A value is encoded as an integer of BITS bits (value * scale). Level l of the sketch counts the nodes
+A value is encoded as an integer of BITS bits: value * scale where that is below a quarter of the range, on either side of
+zero; beyond it, steps of the logarithm, so every finite value has a code and codes are in the order of the values. Level l of the sketch counts the nodes
 code >> l. Levels with at most 2**EXACT_BITS nodes are kept exactly, as one array from which the coarser ones
 follow; each finer level is a signed sketch of DEPTH rows and WIDTH cells. All of it is linear: sketches of parts
 (partitions, days, files) are added, and rows of negative weight take rows back. A quantile descends from the
@@ -8,7 +9,7 @@ exact level: at each level the left child's count, the median of its signed cell
 
 Stated error: a level's estimate deviates by about sqrt(F2 / WIDTH), F2 being the sum of the squared node
 counts of that level within the group; with the defaults the rank of an answer is off by less than 1 % of n (tests).
-The value is exact in the encoding, not binned.
+The value is exact to 1/scale up to 134,217.727 (with the defaults) on either side of zero, and to one part in 100,000 beyond.
 
 A part whose distinct values are few travels as its (code, weight) pairs, of which the sketch is a linear
 function; it becomes cells when it has more than PAIRS of them. Every answer comes from the cells.
@@ -21,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS, EXACT_BITS, DEPTH, WIDTH, PAIRS = 27, 10, 5, 512, 4096
+BITS, EXACT_BITS, DEPTH, WIDTH, PAIRS = 29, 10, 5, 512, 4096
+#: Octaves that the codes beyond the exact ones are for: all that a double has.
+OCTAVES = 1_100
 #: Rows that a task collects before it emits the parts of its groups.
 CHUNK_ROWS = 400_000
 
@@ -41,6 +44,23 @@ class Shape:
         self.seeds = np.random.default_rng(seed).integers(1, 2**63, size=(self.levels, depth), dtype=np.uint64)
         self.shift = np.uint64(64 - int(np.log2(width)))
 
+    def encoded(self, value: Column, scale: int) -> Column:
+        """The code of a number that isn't null or NaN. The middle of the range is zero, the inner half holds the values times scale, the rest their logarithms."""
+        inner, middle = 1 << (self.bits - 2), 1 << (self.bits - 1)
+        size = F.abs(value.cast("double")) * F.lit(float(scale))
+        beyond = F.least(F.floor(F.log2(size / F.lit(float(inner))) * F.lit(inner / OCTAVES)), F.lit(inner - 1)) + F.lit(inner)
+        step = F.when(size < inner - 0.5, F.abs(F.round(value * F.lit(scale)))).otherwise(F.greatest(beyond, F.lit(inner))).cast("bigint")
+        return F.lit(middle) + F.when(value < 0, -step).otherwise(step)
+
+    def decoded(self, codes: np.ndarray, scale: int) -> np.ndarray:
+        """The values of codes."""
+        inner, middle = 1 << (self.bits - 2), 1 << (self.bits - 1)
+        step = np.asarray(codes, np.int64) - middle
+        size = np.abs(step).astype(np.float64)
+        with np.errstate(over="ignore"):
+            far = inner * np.exp2((size - inner + 0.5) / (inner / OCTAVES))
+        return np.where(size < inner, step / scale, np.sign(step) * far / scale)
+
     def hashed(self, level: int, row: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and sign (+1, -1) of nodes."""
         x = nodes.astype(np.uint64) + self.seeds[level, row]
@@ -156,13 +176,11 @@ def _parts_of(frame: pd.DataFrame, keys: list[str], shape: Shape) -> pd.DataFram
 def build(rows: DataFrame, keys: list[str], value: str, weight: str | None = None, scale: int = 1000, shape: Shape | None = None) -> DataFrame:
     """keys, n, sketch: the parts of each group, one or more a task; add them with merge.
 
-    Rows with a null value don't count. Values are rounded to 1/scale; one outside of 0 to (2**bits - 1) / scale is
-    an error when the query runs. weight: a column of integers, negative to take rows back; 1 if not given. Null keys are a group.
+    Rows with a null value or NaN don't count; infinite values count as the largest. Values are rounded to 1/scale (see the module for very large ones). weight: a column of integers, negative to take rows back; 1 if not given. Null keys are a group.
     """
     shape = shape or Shape()
-    top = (1 << shape.bits) - 1
-    code = F.round(F.col(value) * F.lit(scale)).cast("bigint")
-    given = rows.where(F.col(value).isNotNull()).select(*keys, F.when(code.between(0, top), code).otherwise(F.raise_error(F.lit(f"value outside of the sketch: 0 to {top / scale}")).cast("bigint")).alias("code"), (F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).alias("weight"))
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    given = rows.select(*keys, shape.encoded(F.col(value), scale).alias("code"), (F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).alias("weight"))
     schema = T.StructType([*(f for f in given.schema.fields if f.name in keys), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +242,7 @@ def quantiles(merged: DataFrame, keys: list[str], fractions: list[float], scale:
                     total = _Sum(shape)
                     total.add(n, blob)
                     ranks = np.clip(np.ceil(np.round(asked * n, 9)), 1, n)
-                    out += [(*(None if pd.isna(k) else k for k in key), n, f, c / scale) for f, c in zip(fractions, shape.descend(total.sketch(), ranks).tolist(), strict=True)]
+                    out += [(*(None if pd.isna(k) else k for k in key), n, f, v) for f, v in zip(fractions, shape.decoded(shape.descend(total.sketch(), ranks), scale).tolist(), strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "n", "fraction", "value"])
 
     return merged.mapInPandas(run, schema)

@@ -30,10 +30,23 @@ def p3_associations(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.associations(_baskets(spark, folder)).select(F.col("a").alias("category_a"), F.col("b").alias("category_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
-def _sketches(spark: SparkSession, folder: str) -> DataFrame:
+def p3_active_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Days on which the same organisations have events: baskets of up to 120 days, so chunks and their products are needed."""
+    rows = table(spark, folder, "sync_events", "org_id", "created_at").where("org_id IS NOT NULL AND created_at IS NOT NULL")
+    days = rows.select("org_id", F.date_format("created_at", "yyyy-MM-dd").alias("day")).distinct()
+    # an organisation has as many items as there are days, whatever the number of its rows
+    baskets = days.groupBy("org_id").agg(F.array_sort(F.collect_set("day")).alias("items"))
+    pairs = cooccurrence.associations(checkpointed(cooccurrence.distinct_baskets(baskets, "items")))
+    return pairs.select(F.col("a").alias("day_a"), F.col("b").alias("day_b"), "n_ab", "n_a", "n_b", "n")
+
+
+def _times(spark: SparkSession, folder: str) -> DataFrame:
     rows = kept(spark, folder, "llm", "processing_time_ms").where("llm IS NOT NULL AND processing_time_ms >= 0")
-    rows = rows.select("org_id", F.lower(F.trim("llm")).alias("llm"), "processing_time_ms")
-    return quantiles.merge(quantiles.build(rows, ["org_id", "llm"], "processing_time_ms"), ["org_id", "llm"])
+    return rows.select("org_id", F.lower(F.trim("llm")).alias("llm"), "processing_time_ms")
+
+
+def _sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return quantiles.merge(quantiles.build(_times(spark, folder), ["org_id", "llm"], "processing_time_ms"), ["org_id", "llm"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +60,17 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return long.select("org_id", "llm", "n", "fraction", "value")
 
 
+def p4_rank_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each answer of p4_percentiles: whether its rank is within the stated error, 1 % of n, of the one asked for. Counts the rows below and up to each answer, exactly."""
+    answers = p4_percentiles(spark, folder)
+    rows = _times(spark, folder).groupBy("org_id", "llm", F.col("processing_time_ms").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    both = answers.alias("a").join(rows.alias("r"), F.col("a.org_id").eqNullSafe(F.col("r.org_id")) & (F.col("a.llm") == F.col("r.llm")))
+    sums = both.groupBy("a.org_id", "a.llm", "n", "fraction").agg(F.sum(F.when(F.col("v") < F.col("value") - 5e-4, F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value") + 5e-4, F.col("k")).otherwise(0)).alias("upto"), F.sum("k").alias("rows"))
+    wanted = F.ceil(F.round(F.col("fraction") * F.col("n"), 9))
+    within = (F.col("rows") == F.col("n")) & (wanted > F.col("below") - 0.01 * F.col("n")) & (wanted <= F.col("upto") + 0.01 * F.col("n") + 1)
+    return sums.select("org_id", "llm", "n", "fraction", within.alias("within"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document's text by byte_bpe_50k."""
     return tokenizer.encode_column(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
@@ -81,7 +105,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", F.explode("segments").alias("s")).select("doc_id", F.col("s.first").alias("first_line"), F.col("s.last").alias("last_line"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p4_found, p4_percentiles, p6_ids, p7_found, p7_report, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_associations, p3_active_days, p4_found, p4_percentiles, p4_rank_error, p6_ids, p7_found, p7_report, p8_found, p8_segments)}
 
 _PAIRS = f"""WITH {DELIVERIES_SQL}, named AS (
   SELECT DISTINCT delivery_id, translate(upper(trim(p.part)), '- ', '__') AS item
@@ -93,6 +117,11 @@ pairs AS (SELECT a.item AS category_a, b.item AS category_b, count(*) AS n_ab FR
 scored AS (SELECT category_a, category_b, n_ab, s.k AS n_a, t.k AS n_b, n FROM pairs JOIN single s ON s.item = category_a JOIN single t ON t.item = category_b, total)"""
 
 SQL = {
+    "p3_active_days": """WITH d AS (SELECT DISTINCT org_id, strftime(created_at, '%Y-%m-%d') AS day FROM sync_events WHERE org_id IS NOT NULL AND created_at IS NOT NULL),
+      s AS (SELECT day, count(*) AS k FROM d GROUP BY day), p AS (SELECT a.day AS day_a, b.day AS day_b, count(*) AS n_ab FROM d a JOIN d b ON a.org_id = b.org_id AND a.day < b.day GROUP BY ALL)
+      SELECT day_a, day_b, n_ab, x.k AS n_a, y.k AS n_b, (SELECT count(DISTINCT org_id) FROM d) AS n FROM p JOIN s x ON x.day = day_a JOIN s y ON y.day = day_b""",
+    "p4_rank_error": f"""WITH {DELIVERIES_SQL}, groups AS (SELECT org_id, lower(trim(llm)) AS llm, count(*) AS n FROM kept WHERE llm IS NOT NULL AND processing_time_ms >= 0 GROUP BY ALL)
+      SELECT org_id, llm, n, CAST(f AS DOUBLE) AS fraction, true AS within FROM groups, (VALUES (0.5), (0.9), (0.95), (0.99)) q(f)""",
     "p3_found": f"{_PAIRS} SELECT category_a, category_b FROM scored WHERE n_ab >= 5 AND 1000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
     "p3_associations": f"{_PAIRS} SELECT category_a, category_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / n_a / n_b, 6) AS lift FROM scored",
     "p4_found": f"""WITH {DELIVERIES_SQL}, ranked AS (

@@ -26,6 +26,14 @@ def test_pairs_against_brute_force(spark, chunk):
     assert all(r.lift == pytest.approx(r.n_ab * r.n / r.n_a / r.n_b) for r in got)
 
 
+def test_a_huge_basket(spark):
+    """Its pairs are made in many tasks, none of which holds more than some chunks."""
+    df = spark.createDataFrame([([f"i{k:04d}" for k in range(1000)],), (["i0001", "i0999"],), (["i0001"],)], "items array<string>")
+    baskets = cooccurrence.distinct_baskets(df, "items").cache()
+    pairs = cooccurrence.pair_counts(baskets)
+    assert pairs.count() == 1000 * 999 // 2 and pairs.where("n_ab > 1").collect() == [("i0001", "i0999", 2)]
+
+
 def test_no_baskets(spark):
     df = spark.createDataFrame([([],), (None,)], "items array<string>")
     assert cooccurrence.associations(cooccurrence.distinct_baskets(df, "items")).count() == 0

@@ -46,7 +46,7 @@ def test_deletions_and_merging(spark):
 def test_parts_add_up_to_the_whole(spark):
     shape = quantiles.Shape()
     rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 1 << 27, 5000), rng.integers(0, 1 << 27, 7000)
+    a, b = rng.integers(0, 1 << shape.bits, 5000), rng.integers(0, 1 << shape.bits, 7000)
     both = shape.fold(np.concatenate([a, b]), np.ones(12_000))
     assert (shape.fold(a, np.ones(5000)) + shape.fold(b, np.ones(7000)) == both).all()
     for kind in (0, 1):
@@ -55,9 +55,24 @@ def test_parts_add_up_to_the_whole(spark):
         assert k == kind and (x == at).all() and (w == both[at]).all()
 
 
-def test_nulls_empty_and_out_of_range(spark):
-    df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
+def test_nulls_and_empty(spark):
+    df = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", 1.0)], "g string, v double")
     assert {k[0] for k in answers(df)} == {"b"}
     assert answers(df.limit(0)) == {}
-    with pytest.raises(Exception, match="outside of the sketch"):
-        answers(spark.createDataFrame([("a", -1.0)], "g string, v double"))
+
+
+def test_values_of_any_size(spark):
+    """Negative, tiny and very large values have codes in their order, exact up to the stated bound."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(0, 1e5, 400), rng.uniform(-1, 1, 100), 10 ** rng.uniform(5, 300, 200), -(10 ** rng.uniform(5, 300, 200)), [0.0, 134_217.727, 134_217.728, 134_218.0, -134_217.728, 1e304, -1e304]])
+    shape = quantiles.Shape()
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", shape.encoded(F.col("v"), 1000).alias("c"))
+    rows = sorted((r.v, r.c) for r in df.collect())
+    codes = np.array([c for _, c in rows])
+    assert (np.diff(codes) >= 0).all() and codes.min() >= 0 and codes.max() < 1 << shape.bits
+    back = shape.decoded(codes, 1000)
+    for (v, _), b in zip(rows, back):
+        assert abs(b - v) <= (5.1e-4 if abs(v) <= 134_217.727 else 1e-5 * abs(v))
+    far = spark.createDataFrame([("a", float(v)) for v in np.repeat([-5e9, 1.0, 7e12], 100)] + [("a", float("inf"))], "g string, v double")
+    got = answers(far)
+    assert got["a", 0.25][1] == pytest.approx(-5e9, rel=1e-5) and got["a", 0.5][1] == 1.0 and got["a", 0.95][1] == pytest.approx(7e12, rel=1e-5)
