@@ -53,7 +53,7 @@ WEAK = 9.0
 #: The alignment keeps positions in pieces, four times as long as a passage, in 16 bits.
 MOST_ASKED = 16_000
 #: Pairs that are aligned side by side; texts that are looked at side by side.
-TOGETHER, TEXTS = 48, 1_000
+TOGETHER, TEXTS = 96, 1_000
 
 _BROKEN = re.compile(r"[-¬=~­‐‑‒–]+[^\S\n]*\n\s*")
 _WORD = re.compile(r"[^\W_]+")
@@ -170,55 +170,55 @@ def _alike(page: tuple[np.ndarray, ...], item: tuple[np.ndarray, ...]) -> np.nda
 
 
 def align(pairs: list[tuple[list[str], list[list[str]]]], alike: list[np.ndarray] | None = None) -> list[tuple[float, int, int, int, int]]:
-    """score, first and last word of the item, and matched words of the best local alignment of each (item, lines of a page); the most matched words that any alignment has.
+    """score, first and last word of the item, and matched words of the best local alignment of each (item, lines of a page); the most matched words of any alignment that scores WEAK.
 
     All pairs are aligned side by side. A state is one number: the score in the upper half, then what the first
     word leaves to the highest position, then the matched words; so the larger of two is the better one. Short items need numbers of 32 bits only.
     alike: which words match, if known.
     """
-    wide = max(len(item) for item, _ in pairs)
+    alike = alike or [_alike(_masks(list(chain.from_iterable(page))), _masks(item)) for item, page in pairs]
+    turn = sorted(range(len(pairs)), key=lambda i: -len(alike[i]))  # the longest first: those that still run are the first rows
+    n, wide, long = len(pairs), max(len(item) for item, _ in pairs), len(alike[turn[0]])
     bits, kind, never = (9, np.int32, -(1 << 30)) if wide < 400 else (16, np.int64, -(1 << 50))
     unit, high = 1 << 2 * bits, (1 << bits) - 1
-    starts, ends, deltas = [], [], alike or [_alike(_masks(list(chain.from_iterable(page))), _masks(item)) for item, page in pairs]
-    for _, page in pairs:
-        sizes = np.array([len(x) for x in page])
-        last = np.cumsum(sizes)
-        starts.append(last - sizes)
-        ends.append(last - 1)
-    long = max(len(d) for d in deltas)
-    n = len(pairs)
     delta = np.full((long, n, wide), int(MISS * 10) * unit, kind)
-    starting, ending, live = np.zeros((long, n), bool), np.zeros((long, n), bool), np.zeros((long, n), bool)
-    for k, d in enumerate(deltas):
-        delta[: len(d), k, : d.shape[1]] = np.where(d, int(MATCH * 10) * unit + 1, int(MISS * 10) * unit)
-        starting[starts[k], k] = ending[ends[k], k] = True
-        live[: len(d), k] = True
+    starting: list[list[int]] = [[] for _ in range(long)]
+    ending: list[list[int]] = [[] for _ in range(long)]
+    running = np.zeros(long, np.int64)
+    for k, i in enumerate(turn):
+        d, at = alike[i], 0
+        delta[: len(d), k, : d.shape[1]][d] = int(MATCH * 10) * unit + 1
+        running[: len(d)] += 1
+        for x in pairs[i][1]:
+            starting[at].append(k)
+            at += len(x)
+            ending[at - 1].append(k)
     begin = np.broadcast_to((high - np.arange(wide + 1, dtype=kind)) << bits, (n, wide + 1))
     state, best = begin.copy(), begin.copy()
-    held = np.full_like(state, never)
-    miss, left_out, skip, line = (kind(int(x * 10) * unit) for x in (MISS, LEFT_OUT, SKIP, LINE))
-    step, most = np.empty_like(state), np.zeros(n, kind)
-    for k in range(long):
-        if (at := np.flatnonzero(starting[k])).size:
+    held, step, part, most = np.full_like(state, never), np.empty_like(state), np.empty((n, wide), kind), np.zeros(n, kind)
+    miss, left_out, skip, line, weak = (kind(int(x * 10) * unit) for x in (MISS, LEFT_OUT, SKIP, LINE, WEAK - 4))
+    for k, m in enumerate(running.tolist()):
+        if at := starting[k]:
             state[at] = np.maximum(state[at], held[at])
-        np.add(state, miss, out=step)  # a word of the page that the item doesn't have
-        np.maximum(step[:, 1:], state[:, :-1] + delta[k], out=step[:, 1:])
+        now, new, tmp = state[:m], step[:m], part[:m]
+        np.add(now, miss, out=new)  # a word of the page that the item doesn't have
+        np.add(now[:, :-1], delta[k, :m], out=tmp)
+        np.maximum(new[:, 1:], tmp, out=new[:, 1:])
         for _ in range(2):  # words of the item that the page doesn't have
-            np.maximum(step[:, 1:], step[:, :-1] + left_out, out=step[:, 1:])
-        np.maximum(step, begin, out=step)
+            np.add(new[:, :-1], left_out, out=tmp)
+            np.maximum(new[:, 1:], tmp, out=new[:, 1:])
+        np.maximum(new, begin[:m], out=new)
         state, step = step, state
-        if live[k].all():
-            np.maximum(best, state, out=best)
-        else:
-            at = np.flatnonzero(live[k])
-            best[at] = np.maximum(best[at], state[at])
-        if (at := np.flatnonzero(ending[k])).size:
-            held[at] = np.maximum(held[at] + line, state[at] + skip)
-        if k % 4 == 3 or k == long - 1:  # an alignment of some score outlasts four words
-            most = np.maximum(most, (state & high).max(axis=1))
+        np.maximum(best[:m], new, out=best[:m])
+        if at := ending[k]:
+            held[at] = np.maximum(held[at] + line, new[at] + skip)
+        if k % 4 == 3 or k == long - 1 or m > running[k + 1]:  # an alignment that scores WEAK loses less than four until then
+            most[:m] = np.maximum(most[:m], np.where(new >= weak, new & high, 0).max(axis=1))
     last = (best >> 2 * bits).argmax(axis=1)
     top = best[np.arange(n), last]
     most = np.maximum(most, top & high)
+    back = np.argsort(turn)
+    top, last, most = top[back], last[back], most[back]
     return [(s / 10, high - (f & high), e - 1, h, m) for s, f, e, h, m in zip((top >> 2 * bits).tolist(), (top >> bits).tolist(), last.tolist(), (top & high).tolist(), most.tolist())]
 
 
