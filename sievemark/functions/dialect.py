@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters of \s beyond ASCII.
 EXOTIC_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_EXOTIC = r"[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: What \s becomes. The texts have their exotic spaces turned into vertical tabs first (see plain_spaces), which are in no other class, so
 #: the class stays within ASCII, where Java tests it by one lookup instead of a dozen comparisons for each character.
 SPACES = r"\t-\r "
@@ -22,7 +23,7 @@ BORDER = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 def plain_spaces(text: Column) -> Column:
     """The text with each exotic space turned into a vertical tab: as long as before, and read by the rewritten patterns as a browser reads the text."""
     # the first test is for two ranges only, which most texts fail quickly
-    return F.when(text.rlike("[\\u00a0\\u1680-\\uffff]") & text.rlike(f"[{EXOTIC_SPACES}]"), F.translate(text, EXOTIC_SPACES, "\x0b" * len(EXOTIC_SPACES))).otherwise(text)
+    return F.when(text.rlike("[\\u00a0\\u1680-\\uffff]") & text.rlike(_EXOTIC), F.translate(text, EXOTIC_SPACES, "\x0b" * len(EXOTIC_SPACES))).otherwise(text)
 
 
 def to_java(pattern: str, ignore_case: bool = False) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import SPACES, plain_spaces, to_java
 from ..functions.dictionary import INJECTION_PHRASES, NEEDS, TRIGGER, VALIDATORS, Pattern
 from ..functions.entropy import shannon_entropy
-from ..functions.spans import find_all, has_literal
+from ..functions.spans import cut, find_all, has_literal, islands, let, open_gates, placed
 
 SPAN = "array<struct<start:int,end:int,placeholder:string,score:int,seq:int>>"
 MATCH = "array<struct<ord:int,start:int,end:int,score:int>>"
@@ -19,51 +19,77 @@ ENTROPY_SCORE, ENCODED_SCORE, INJECTION_SCORE = 70, 85, 95
 _EPSILON = 1e-9
 
 
-def pattern_matches(text: Column, lower: Column, patterns: tuple[Pattern, ...]) -> Column:
-    """All validated matches of all patterns whose gate the text opens. The gate is part of the semantics: a pattern may match text that none of its anchors occurs in."""
+def open_patterns(lower: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """The numbers of the patterns whose gate a text in lower case opens, without those that are always looked for."""
+    return open_gates(lower, {k: [a.lower() for a in p.anchors] for k, p in enumerate(patterns) if not p.always})
+
+
+def pattern_matches(text: Column, opened: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """All validated matches of all patterns whose gate the text opens (open_patterns). The gate is part of the semantics: a pattern may match text that none of its anchors occurs in."""
 
     def of(k: int, p: Pattern) -> Column:
-        gate = F.lit(True) if p.always else has_literal(lower, [a.lower() for a in p.anchors])
-        if p.need:
-            gate = gate & NEEDS[p.need](text)
-        hits = find_all(text, p.java)
-        if p.validator:
-            hits = F.filter(hits, lambda x: VALIDATORS[p.validator](x["value"]))
-        rows = F.transform(hits, lambda x: F.struct(F.lit(k).alias("ord"), x["start"].alias("start"), x["end"].alias("end"), F.lit(p.score).alias("score")))
-        return F.when(gate, rows).otherwise(F.array().cast(MATCH))
+        gate = F.lit(True) if p.always else F.array_contains(opened, F.lit(k))
+        return F.when(gate & NEEDS[p.need](text) if p.need else gate, cut(text, p.java, ord=F.lit(k)))
+
+    def valid(k: Column, value: Column) -> Column:
+        return reduce(Column.__and__, ((k != i) | VALIDATORS[p.validator](value) for i, p in enumerate(patterns) if p.validator), F.lit(True))
 
-    return F.concat(*(of(k, p) for k, p in enumerate(patterns))) if patterns else F.array().cast(MATCH)
+    if not patterns:
+        return F.array().cast(MATCH)
+    scores = F.array(*(F.lit(p.score) for p in patterns))
+    match = lambda k: lambda x: F.struct(k.alias("ord"), x["start"].alias("start"), x["end"].alias("end"), F.get(scores, k).alias("score"))
+    rows = lambda c: F.transform(F.filter(placed(c), lambda x: valid(c["ord"], x["value"])), match(c["ord"]))
+    # the places are worked out by one expression for all patterns that match, which keeps the plan small
+    return F.flatten(F.transform(F.array_compact(F.array(*(of(k, p) for k, p in enumerate(patterns)))), rows)).cast(MATCH)
 
 
 def without_contained(matches: Column) -> Column:
-    """Drops a match that lies within a longer, at least as severe one of another pattern; all matches take part in the test, dropped ones too."""
+    """Drops a match that lies within a longer, at least as severe one of another pattern; all matches take part in the test, dropped ones too. By start, unless all are of one pattern."""
     size = lambda x: x["end"] - x["start"]
-    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["ord"] != m["ord"]) & (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (size(o) > size(m)) & (o["score"] >= m["score"])))
+    kept = lambda group: F.filter(group, lambda m: ~F.exists(group, lambda o: (o["ord"] != m["ord"]) & (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (size(o) > size(m)) & (o["score"] >= m["score"])))
+    by_start = F.transform(F.array_sort(F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["ord"].alias("ord"), m["score"].alias("score")))), lambda m: F.struct(m["ord"].alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["score"].alias("score")))
+    # what contains a match shares its island
+    tested = let(by_start, lambda x: F.flatten(F.transform(islands(x), kept)))
+    return F.when(F.size(F.array_distinct(F.transform(matches, lambda m: m["ord"]))) < 2, matches).otherwise(tested)
 
 
+# The characters of values, and the patterns of assigned values, of those near a keyword, and of blobs.
 _VALUE = "[A-Za-z0-9+/=_-]"
 ASSIGNED = to_java(rf"""[A-Za-z_][A-Za-z0-9_-]{{0,64}}\s*[:=]\s*['"]?({_VALUE}{{20,200}})""")
 NEARBY = to_java(rf"\b{TRIGGER}\b(?s:.){{0,24}}?\b({_VALUE}{{20,200}})", ignore_case=True)
 
 
-def high_entropy(text: Column) -> Column:
-    """start, end, value of random-looking values: assigned ones (4.0 bits a character), then those near a keyword (4.2); of two that begin alike the first counts. None for texts under 20 characters."""
+#: What every text with an assigned value, or with one near a keyword, holds.
+ASSIGNED_NEED = to_java(rf"""[:=]\s*['"]?{_VALUE}{{20}}""")
+NEARBY_NEED = ("secret", "token", "key", "pass", "pwd", "cred", "auth", "api", "access")
+
+
+def long_run(text: Column) -> Column:
+    """Whether a text holds twenty characters of values in a row: neither random-looking values nor encoded secrets are in any other."""
+    # signs without a space are one range of characters, which is tested faster than the class
+    return (F.length(text) >= 20) & text.rlike("[!-~]{20}") & text.rlike(f"{_VALUE}{{20}}")
+
+
+def high_entropy(text: Column, lower: Column | None = None, possible: Column | None = None) -> Column:
+    """start, end, value of random-looking values: assigned ones (4.0 bits a character), then those near a keyword (4.2); of two that begin alike the first counts. None for texts under 20 characters. lower and possible (long_run), if known, save their computation."""
+    lower = F.lower(text) if lower is None else lower
     span = lambda start, v: F.struct(start.cast("int").alias("start"), (start + F.length(v)).cast("int").alias("end"), v.alias("value"))
     kind = "array<struct<start:int,end:int,value:string>>"
+    none = F.array().cast(kind)
     a = F.filter(find_all(text, ASSIGNED, 1), lambda x: shannon_entropy(x["part"]) >= 4.0 - _EPSILON)
-    a = F.transform(a, lambda x: span(x["start"] + F.instr(x["value"], x["part"]) - 1, x["part"]))
+    a = F.when(text.rlike(ASSIGNED_NEED), F.transform(a, lambda x: span(x["start"] + F.instr(x["value"], x["part"]) - 1, x["part"]))).otherwise(none)
     b = F.filter(find_all(text, NEARBY, 1), lambda x: shannon_entropy(x["part"]) >= 4.2 - _EPSILON)
-    b = F.transform(b, lambda x: span(x["end"] - F.length(x["part"]), x["part"]))
-    every = F.concat(a, b)
-    first = F.aggregate(every, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: y["start"] == x["start"]), acc).otherwise(F.concat(acc, F.array(x))))
-    possible = (F.length(text) >= 20) & text.rlike(f"{_VALUE}{{20}}")
-    return F.when(possible, first).otherwise(F.array().cast(kind))
+    b = F.when(has_literal(lower, list(NEARBY_NEED)), F.transform(b, lambda x: span(x["end"] - F.length(x["part"]), x["part"]))).otherwise(none)
+    # the values of either kind lie apart, so only one of each kind can begin at a place
+    starts = lambda x: F.transform(x, lambda y: y["start"])
+    both = let(a, lambda a: F.concat(a, F.filter(b, lambda x: ~F.array_contains(starts(a), x["start"]))))
+    return F.when(long_run(text) if possible is None else possible, both).otherwise(none)
 
 
 BLOB = to_java(r"\b[A-Za-z0-9+/]{20,512}={0,2}")
 
 
-def encoded_secrets(text: Column, patterns: tuple[Pattern, ...]) -> Column:
+def encoded_secrets(text: Column, patterns: tuple[Pattern, ...], possible: Column | None = None) -> Column:
     """start, end, value of base64 blobs that decode to printable text with a severe secret (score 70 or more, not always looked for). No anchors are asked for; what is decoded isn't decoded again."""
     kind = "array<struct<start:int,end:int,value:string>>"
     severe = [p for p in patterns if p.score >= 70 and not p.always]
@@ -80,7 +106,7 @@ def encoded_secrets(text: Column, patterns: tuple[Pattern, ...]) -> Column:
 
     good = F.filter(find_all(text, BLOB), lambda x: F.when((F.length(x["value"]) % 4 == 0) & x["value"].rlike(r"\A[A-Za-z0-9+/]+={0,2}\z"), holds(x["value"])).otherwise(F.lit(False)))
     hits = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    possible = (F.length(text) >= 24) & text.rlike(r"[A-Za-z0-9+/]{20}")
+    possible = (long_run(text) if possible is None else possible) & (F.length(text) >= 24) & text.rlike(r"[A-Za-z0-9+/]{20}")
     return F.when(possible, hits).otherwise(F.array().cast(kind))
 
 
@@ -92,7 +118,9 @@ def add_spans(spans: Column, hits: Column, placeholder: str, score: int, seq: in
 
 #: Fixed value: the letters that digits and signs stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Fixed value: characters without a form of their own.
 _HIDDEN = "[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
+#: Fixed value: single letters or digits with separators between them.
 SINGLES = to_java(r"\b(?:[a-z0-9][\s._-]){2,}[a-z0-9]\b")
 
 
@@ -103,7 +131,7 @@ def folded(text: Column) -> Column:
     select: what it calls is not marked as deterministic.
     """
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.lower(F.when(text.rlike("[^\\x00-\\x7f]"), composed).otherwise(text))
+    return F.lower(F.when(F.octet_length(text) != F.length(text), composed).otherwise(text))
 
 
 def without_hidden(text: Column) -> Column:
@@ -111,9 +139,9 @@ def without_hidden(text: Column) -> Column:
     return F.when(text.rlike("[\\u200b-\\ufeff]"), F.regexp_replace(text, _HIDDEN, "")).otherwise(text)
 
 
-def plain_form(folded_text: Column) -> Column:
-    """Digits and signs that stand for letters undone, of a text without hidden characters. Empty for null."""
-    s = plain_spaces(folded_text)
+def plain_form(folded_text: Column, spaced: Column | None = None) -> Column:
+    """Digits and signs that stand for letters undone, of a text without hidden characters. Empty for null. spaced: whether the text before it was folded has exotic spaces, if known; folding makes none."""
+    s = plain_spaces(folded_text) if spaced is None else F.when(spaced, plain_spaces(folded_text)).otherwise(folded_text)
     for digit, letter in LEET.items():
         s = F.replace(s, F.lit(digit), F.lit(letter))
     return F.coalesce(s, F.lit(""))
@@ -123,10 +151,11 @@ def joined_singles(s: Column) -> Column:
     """Single letters or digits with separators between them joined to words."""
     runs = F.transform(F.regexp_extract_all(s, F.lit(SINGLES), F.lit(0)), lambda m: F.regexp_replace(m, f"[{SPACES}._-]", ""))
     parts = F.zip_with(F.split(s, SINGLES, -1), runs, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    possible = s.rlike(to_java(r"[a-z0-9][\s._-][a-z0-9][\s._-][a-z0-9]"))
+    possible = s.rlike(to_java(r"[\s._-][a-z0-9][\s._-][a-z0-9](?![0-9A-Za-z_])"))  # begins with what is rarer
     return F.when(possible & s.rlike(SINGLES), F.array_join(parts, "")).otherwise(s)
 
 
+#: The confidence from which a text counts as an injection.
 THRESHOLDS = {"LOW": 0.8, "MEDIUM": 0.6, "HIGH": 0.4}
 #: Signals beyond the phrases: weight, and what is reported. Fixed values.
 SIGNALS = {
@@ -144,6 +173,9 @@ _NEEDS = {
     "role": [["you are "]],
     "exfiltrate": [["system prompt", "your instructions", "your guidelines", "your rules", "your prompt", "initial prompt"]],
 }
+#: A text with a phrase, or one that passes one of the tests below, holds one of these.
+SUSPECT = ("prompt", "instructions", "your ", "ignore", "disregard", "forget", "override", "bypass", "reset", "you are ", " dan", "dan ", "act as", "restrictions", "repeat", "do anything now", "jailbreak", "developer mode")
+#: The tests of the first four signals.
 _TESTS = {
     "meta": r"\b(?:system prompt|your instructions|previous instructions|prior instructions|your guidelines|your rules|your programming)\b",
     "override": r"\b(?:ignore|disregard|forget|override|bypass|reset)\b(?s:.){0,40}\b(?:previous|above|prior|instruction|instructions|rules|guidelines|directives|context)\b",
@@ -157,22 +189,26 @@ def threshold(sensitivity: Column) -> Column:
     return F.when(sensitivity == "LOW", F.lit(0.8)).when(sensitivity == "HIGH", F.lit(0.4)).otherwise(F.lit(0.6))
 
 
-def injection_phrases(plain: Column) -> Column:
+def suspect(plain: Column) -> Column:
+    """Whether a plain form may hold a phrase or pass one of the tests on it: for most texts a few searches instead of some sixty."""
+    return has_literal(plain, list(SUSPECT))
+
+
+def injection_phrases(plain: Column, possible: Column | None = None) -> Column:
     """The phrases that a plain form holds."""
     phrases = F.filter(F.array(*map(F.lit, INJECTION_PHRASES)), lambda p: F.contains(plain, p))
-    return F.when(has_literal(plain, list(INJECTION_PHRASES)), phrases).otherwise(F.array().cast("array<string>"))
+    return F.when(suspect(plain) if possible is None else possible, phrases).otherwise(F.array().cast("array<string>"))
 
 
-def injection_flags(text: Column, plain: Column) -> Column:
+def injection_flags(text: Column, plain: Column, possible: Column | None = None, lower: Column | None = None) -> Column:
     """The tests of SIGNALS as the bits of one number, the first lowest. One number, as it is used several times and structs would be taken apart and their tests repeated."""
-    flags = []
-    for k, r in _TESTS.items():
-        possible = [has_literal(plain, group) for group in _NEEDS[k]]
-        flags.append(reduce(Column.__and__, [*possible, plain.rlike(to_java(r))]))
-    flags.append(text.rlike(to_java(r"[i1lIL]\s*[gG]\s*[nN]\s*[oO0]\s*[rR]\s*[eE]|[iI1][nN][sS][tT][rR][uU][cC][tT][iI1]?[oO0][nN]")) & ~plain.rlike(to_java(r"\binstructions?\b")))
+    possible = suspect(plain) if possible is None else possible
+    bit = lambda k, f: F.when(f, F.lit(1 << k)).otherwise(F.lit(0))
+    tests = [bit(k, reduce(Column.__and__, [*(has_literal(plain, group) for group in _NEEDS[name]), plain.rlike(to_java(r))])) for k, (name, r) in enumerate(_TESTS.items())]
+    disguised = (text.rlike(to_java(r"[gG]\s*[nN]\s*[oO0]\s*[rR]")) & text.rlike(to_java(r"[i1lIL]\s*[gG]\s*[nN]\s*[oO0]\s*[rR]\s*[eE]"))) | (F.lower(text) if lower is None else lower).contains("nstruct") & text.rlike(to_java(r"[iI1][nN][sS][tT][rR][uU][cC][tT][iI1]?[oO0][nN]"))
     tail = F.right(plain, F.lit(120))
-    flags.append((F.length(text) > 400) & tail.rlike(to_java(r"\b(?:ignore|disregard|now|instead|actually)\b")) & tail.rlike(to_java(r"\b(?:instruction|rules|tell me|reveal|print|output)\b")))
-    return reduce(Column.__add__, (F.when(f, F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(flags)))
+    late = (F.length(text) > 400) & tail.rlike(to_java(r"\b(?:ignore|disregard|now|instead|actually)\b")) & tail.rlike(to_java(r"\b(?:instruction|rules|tell me|reveal|print|output)\b"))
+    return F.when(possible, reduce(Column.__add__, tests)).otherwise(F.lit(0)) + bit(4, disguised & ~plain.rlike(to_java(r"\binstructions?\b"))) + bit(5, late)
 
 
 def injection(phrases: Column, flags: Column, sensitivity: Column) -> Column:

@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import BLOCK, blocks, islands, let
 from .detect import SPAN
 
 
 def merge_spans(spans: Column) -> Column:
     """Disjoint spans by start; those that share a character become one, with the placeholder of the severest, of the first on a tie (by start, end, seq). Touching spans stay apart. Null for null."""
     order = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["seq"].alias("seq"), x["placeholder"].alias("placeholder"), x["score"].alias("score")))
-    sortedspans = F.transform(F.array_sort(order), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["placeholder"].alias("placeholder"), x["score"].alias("score"), x["seq"].alias("seq")))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        worse = F.coalesce(x["score"], F.lit(0)) > F.coalesce(last["score"], F.lit(0))
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.when(worse, x["placeholder"]).otherwise(last["placeholder"]).alias("placeholder"), F.when(worse, x["score"]).otherwise(last["score"]).alias("score"), last["seq"].alias("seq"))
-        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both)).cast(SPAN)).otherwise(F.concat(acc, F.array(x)).cast(SPAN))
+    def one(group: Column) -> Column:
+        worst = F.array_max(F.transform(group, lambda x, i: F.struct(F.coalesce(x["score"], F.lit(0)).alias("s"), (-i).alias("i"))))["i"]
+        last = F.array_max(F.transform(group, lambda x: x["end"]))
+        return let(F.get(group, -worst), lambda w: F.struct(group[0]["start"].alias("start"), last.alias("end"), w["placeholder"].alias("placeholder"), w["score"].alias("score"), group[0]["seq"].alias("seq")))
 
-    return F.when(F.size(spans) < 2, spans.cast(SPAN)).otherwise(F.aggregate(sortedspans.cast(SPAN), F.array().cast(SPAN), step))
+    merged = let(F.array_sort(order), lambda x: F.transform(islands(x), one))
+    return F.when(F.size(spans) < 2, spans.cast(SPAN)).otherwise(merged.cast(SPAN))
 
 
 def redact(text: Column, merged: Column) -> Column:
-    """The text with each of the disjoint sorted spans replaced by its placeholder."""
-    pieces = F.transform(merged, lambda s, i: F.concat(F.substring(text, F.when(i > 0, F.try_element_at(merged, i)["end"]).otherwise(F.lit(0)) + 1, s["start"] - F.when(i > 0, F.try_element_at(merged, i)["end"]).otherwise(F.lit(0))), s["placeholder"]))
+    """The text with each of the disjoint sorted spans replaced by its placeholder. The text is cut at some spans first, as a cut within it costs as much as what lies before."""
+
+    def part(group: Column, k: Column) -> Column:
+        begin = F.coalesce(F.try_element_at(merged, F.nullif(k * BLOCK, F.lit(0)))["end"], F.lit(0))
+
+        def filled(own: Column) -> Column:
+            since = lambda i: F.coalesce(F.try_element_at(group, F.nullif(i, F.lit(0)))["end"], own["from"])
+            piece = lambda x, i: let(since(i), lambda p: F.concat(F.substring(own["t"], p - own["from"] + 1, x["start"] - p), x["placeholder"]))
+            return F.array_join(F.transform(group, piece), "")
+
+        return let(begin, lambda p: let(F.struct(p.alias("from"), F.substring(text, p + 1, F.try_element_at(group, F.lit(-1))["end"] - p).alias("t")), filled))
+
     rest = F.substring(text, F.try_element_at(merged, F.lit(-1))["end"] + 1, F.length(text))
-    return F.when(F.size(merged) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    return F.when(F.size(merged) > 0, F.concat(F.array_join(F.transform(blocks(merged), part), ""), rest)).otherwise(text)
 
 
 def merge_span_rows(spans: DataFrame, key: str) -> DataFrame:

@@ -43,9 +43,10 @@ def _steps(context: int, patterns: tuple[Pattern, ...]) -> tuple[tuple[dict[str,
     steps = (
         {"_text": plain_spaces(F.col("_given")), "_folded": detect.folded(F.col("_given"))},
         {"_lower": F.lower(t), "_folded": detect.without_hidden(F.col("_folded"))},
-        {"_plain": detect.plain_form(F.col("_folded")), "_raw": F.when(t != "", detect.pattern_matches(t, F.col("_lower"), patterns)).otherwise(F.array().cast(detect.MATCH))},
-        {"_kept": F.when(F.size("_raw") > 1, detect.without_contained(F.col("_raw"))).otherwise(F.col("_raw")), "_entropy": detect.high_entropy(t), "_encoded": detect.encoded_secrets(t, patterns), "_plain": detect.joined_singles(F.col("_plain"))},
-        {"_own": own.cast(detect.SPAN), "_phrases": detect.injection_phrases(F.col("_plain")), "_flags": detect.injection_flags(t, F.col("_plain"))},
+        {"_plain": detect.plain_form(F.col("_folded"), t != F.col("_given")), "_open": detect.open_patterns(F.col("_lower"), patterns), "_long": detect.long_run(t)},
+        {"_raw": F.when(t != "", detect.pattern_matches(t, F.col("_open"), patterns)).otherwise(F.array().cast(detect.MATCH)), "_plain": detect.joined_singles(F.col("_plain"))},
+        {"_kept": F.when(F.size("_raw") > 1, detect.without_contained(F.col("_raw"))).otherwise(F.col("_raw")), "_entropy": detect.high_entropy(t, F.col("_lower"), F.col("_long")), "_encoded": detect.encoded_secrets(t, patterns, F.col("_long")), "_suspect": detect.suspect(F.col("_plain"))},
+        {"_own": own.cast(detect.SPAN), "_phrases": detect.injection_phrases(F.col("_plain"), F.col("_suspect")), "_flags": detect.injection_flags(t, F.col("_plain"), F.col("_suspect"), F.col("_lower"))},
         {"_two": F.when(F.size("_entropy") > 0, detect.add_spans(F.col("_own"), F.col("_entropy"), "[SECRET]", detect.ENTROPY_SCORE, 1000)).otherwise(F.col("_own")), "injection": F.when(t != "", detect.injection(F.col("_phrases"), F.col("_flags"), F.col("_sensitivity")))},
         {"_spans": F.when(F.size("_encoded") > 0, detect.add_spans(F.col("_two"), F.col("_encoded"), "[ENCODED_SECRET]", detect.ENCODED_SCORE, 1001)).otherwise(F.col("_two"))},
         {"_threats": by_severity(F.concat(by_pattern, F.array_compact(F.array(*others)))), "_merged": merge_spans(F.col("_spans"))},
