@@ -102,7 +102,7 @@ def encoded_secrets(text: Column, patterns: tuple[Pattern, ...], possible: Colum
             if p.validator:
                 hit = hit & VALIDATORS[p.validator](F.regexp_extract(plain, p.java, 0))
             found = found | hit
-        return F.coalesce(plain.rlike(rf"\A[\x20-\x7e{SPACES}]+\z") & found, F.lit(False))
+        return F.coalesce(plain.rlike(rf"\A[\x20-\x7e\xa0{SPACES}]+\z") & found, F.lit(False))
 
     good = F.filter(find_all(text, BLOB), lambda x: F.when((F.length(x["value"]) % 4 == 0) & x["value"].rlike(r"\A[A-Za-z0-9+/]+={0,2}\z"), holds(x["value"])).otherwise(F.lit(False)))
     hits = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
