@@ -1,7 +1,7 @@
 """Encoding of whole texts by a public byte-level BPE vocabulary.
 
 A text is split by the vocabulary's pattern; each piece is encoded by dynamic programming over its prefixes. A
-prefix's encoding ends with exactly one token: of the tokens that are suffixes of the prefix (an automaton over
+prefix's encoding ends with exactly one token: of the tokens that are suffixes of the prefix (the suffix automaton of
 the vocabulary finds them in one pass) it is the one that is compatible with the last token of what it leaves
 before it. Following the last tokens back from the end gives the ids. The time is linear in the piece, however long.
 
@@ -16,6 +16,7 @@ import base64
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,21 +43,104 @@ def _ranges(*categories: str) -> str:
     return "".join(out)
 
 
+def read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+
+
+class SuffixAutomaton:
+    """The automaton of all parts of the tokens of a vocabulary. A state stands for parts that end at the same places; its link leads to the longest suffix that doesn't.
+
+    Reading a text, it keeps the longest suffix of what was read that is a part of some token; the tokens among the suffixes are
+    those of its state that aren't longer, and those of the states up the links. It is made once, on the driver, and sent as arrays.
+    """
+
+    def __init__(self, rank: dict[bytes, int]):
+        following, link, length = [{}], [-1], [0]
+
+        def split_off(p: int, q: int, c: int) -> int:
+            """A state for the shorter parts of q that one reaches from p by c."""
+            new = len(length)
+            following.append(dict(following[q]))
+            link.append(link[q])
+            length.append(length[p] + 1)
+            link[q] = new
+            while p >= 0 and following[p].get(c) == q:
+                following[p][c] = new
+                p = link[p]
+            return new
+
+        def add(last: int, c: int) -> int:
+            q = following[last].get(c)
+            if q is not None:
+                return q if length[q] == length[last] + 1 else split_off(last, q, c)
+            new, p = len(length), last
+            following.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            while p >= 0 and c not in following[p]:
+                following[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = following[p][c]
+                link[new] = q if length[q] == length[p] + 1 else split_off(p, q, c)
+            return new
+
+        for token in rank:
+            state = 0
+            for c in token:
+                state = add(state, c)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for token, i in rank.items():
+            state = 0
+            for c in token:
+                state = following[state][c]
+            own.setdefault(state, []).append((len(token), i))
+        # the nearest state up the links that has tokens, by length so that those above come first
+        up = [0] * len(length)
+        for s in sorted(range(1, len(length)), key=length.__getitem__):
+            up[s] = link[s] if link[s] in own else up[link[s]]
+        self.keys = np.fromiter((s << 8 | c for s, x in enumerate(following) for c in x), np.int64)
+        self.values = np.fromiter((t for x in following for t in x.values()), np.int32)
+        self.link, self.length, self.up = np.array(link, np.int32), np.array(length, np.int32), np.array(up, np.int32)
+        self.tokens = np.array([(s, n, i) for s, x in own.items() for n, i in sorted(x, reverse=True)], np.int32).reshape(-1, 3)
+
+    def open(self) -> None:
+        """Makes the lookups that reading needs from the arrays."""
+        self.go = dict(zip(self.keys.tolist(), self.values.tolist()))
+        self.links, self.lengths, self.ups = self.link.tolist(), self.length.tolist(), self.up.tolist()
+        self.own: dict[int, list[tuple[int, int]]] = {}
+        for s, n, i in self.tokens.tolist():
+            self.own.setdefault(s, []).append((n, i))
+
+    def suffixes(self, text: bytes) -> Iterator[Iterator[tuple[int, int]]]:
+        """For each prefix of a text: length and id of the tokens that are suffixes of it, the longest first."""
+        go, links, lengths, state, size = self.go, self.links, self.lengths, 0, 0
+        for c in text:
+            while (to := go.get(state << 8 | c)) is None and state:
+                state = links[state]
+                size = lengths[state]
+            state, size = (to, size + 1) if to is not None else (0, 0)
+            yield self._ending(state, size)
+
+    def _ending(self, state: int, size: int) -> Iterator[tuple[int, int]]:
+        for n, i in self.own.get(state, ()):
+            if n <= size:
+                yield n, i
+        while state := self.ups[state]:
+            yield from self.own[state]
+
+
 class Encoder(dict):
     """ids of a piece by lookup; a piece that isn't there yet is encoded."""
 
-    def __init__(self, ranks: bytes):
+    def __init__(self, ranks: bytes, automaton: SuffixAutomaton | None = None):
         import re
 
-        import ahocorasick
-
         super().__init__()
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.rank = read_ranks(ranks)
         self.token = {i: b for b, i in self.rank.items()}
-        self.automaton = ahocorasick.Automaton()
-        for b, i in self.rank.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
-        self.automaton.make_automaton()
+        self.automaton = automaton or SuffixAutomaton(self.rank)
+        self.automaton.open()
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         letters, numbers, white = _ranges("L"), _ranges("N"), [f"[{WHITE}]+(?![^{WHITE}])", f"[{WHITE}]+"]
@@ -103,13 +187,13 @@ class Encoder(dict):
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        text = piece.decode("latin-1")
-        last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        for end, (token, n) in self.automaton.iter(text):
-            start = end + 1 - n
-            if last[end + 1] < 0 and (start == 0 or self.compatible(last[start], token)):
-                last[end + 1], size[end + 1] = token, n
-        out, at = [], len(text)
+        last, size = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
+        for end, tokens in enumerate(self.automaton.suffixes(piece), 1):
+            for n, token in tokens:
+                if n == end or self.compatible(last[end - n], token):
+                    last[end], size[end] = token, n
+                    break
+        out, at = [], len(piece)
         while at:
             out.append(last[at])
             at -= size[at]
@@ -132,14 +216,19 @@ class Encoder(dict):
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(ranks: bytes) -> Encoder:
+def encoder(ranks: bytes, automaton: SuffixAutomaton | None = None) -> Encoder:
     """The encoder of a rank file's contents, one in each process."""
     if (key := hash(ranks)) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks)
+        _ENCODERS[key] = Encoder(ranks, automaton)
     return _ENCODERS[key]
 
 
+@lru_cache(2)
+def _automaton(ranks: bytes) -> SuffixAutomaton:
+    return SuffixAutomaton(read_ranks(ranks))
+
+
 def default_ranks() -> bytes:
     """The rank file byte_bpe_50k.tiktoken."""
     try:
@@ -156,13 +245,14 @@ def encode_column(texts: DataFrame, key: str, text: str, ranks: bytes | None = N
     """key, ids: each row's ids without special tokens, whose names in a text are ordinary text. Narrow: no shuffle.
 
     Null and empty texts give an empty list. Rows with a null or repeated key each give a row. The rank file
-    is read once on the driver (under 1 MB, its size doesn't depend on the data) and broadcast.
+    is read once on the driver and broadcast with its automaton (some 10 MB; the size doesn't depend on the data).
     """
     given = texts.select(key, text)
-    shared = texts.sparkSession.sparkContext.broadcast(ranks or default_ranks())
+    ranks = ranks or default_ranks()
+    shared = texts.sparkSession.sparkContext.broadcast((ranks, _automaton(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value)
+        enc = encoder(*shared.value)
         get, split = enc.__getitem__, enc.split
         for b in batches:
             ends, parts = [0], []

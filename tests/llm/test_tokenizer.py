@@ -35,6 +35,16 @@ def test_any_text(encoder, reference, text):
     assert encoder.encode(text) == reference(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=20, unique=True), st.binary(max_size=25).map(lambda b: bytes(x % 4 for x in b)))
+def test_suffix_automaton(tokens, text):
+    """The tokens that are suffixes of each prefix, the longest first."""
+    automaton = tokenizer.SuffixAutomaton({t: k for k, t in enumerate(tokens)})
+    automaton.open()
+    got = [list(x) for x in automaton.suffixes(text)]
+    assert got == [sorted(((len(t), k) for k, t in enumerate(tokens) if text[:end].endswith(t)), reverse=True) for end in range(1, len(text) + 1)]
+
+
 def test_store_of_pieces_is_bounded(encoder, monkeypatch):
     monkeypatch.setattr(tokenizer, "KEPT_PIECES", 10)
     own = tokenizer.Encoder(tokenizer.default_ranks())
