@@ -19,3 +19,24 @@ def composite_score(scores: Column) -> Column:
 def by_severity(threats: Column, score: str = "score", tie: str = "ord") -> Column:
     """Threats, the severest first; ties by `tie`."""
     return F.array_sort(threats, lambda a, b: F.when(a[score] != b[score], b[score] - a[score]).otherwise(a[tie] - b[tie]))
+
+
+#: How the levels, the choices and the preview are named in a dialog.
+LEVEL_LABELS = {"SAFE": "SAFE", "CAUTION": "CAUTION", "HIGH": "HIGH RISK"}
+DECISION_LABELS = {"REDACTED": "Redact & Send", "SENT_ANYWAY": "Send Anyway", "CANCELLED": "Cancel"}
+
+
+def risk_label(level: Column, score: Column) -> Column:
+    """'HIGH RISK · 90/100': the level's name, an unknown level itself, and the score; null if either is null."""
+    names = F.create_map(*(F.lit(x) for kv in LEVEL_LABELS.items() for x in kv))
+    return F.concat(F.coalesce(names[level], level), F.lit(" · "), score.cast("string"), F.lit("/100"))
+
+
+def count_label(count: Column) -> Column:
+    """'×2' for more than one match, an empty text otherwise."""
+    return F.when(count > 1, F.concat(F.lit("×"), count.cast("string"))).otherwise("")
+
+
+def bar_width(score: Column) -> Column:
+    """Percent of the bar that shows a score: 4 at least; null for null."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(4), score.cast("int")))

@@ -12,6 +12,7 @@ from ..functions.dictionary import CATEGORIES, PATTERNS, Pattern
 from ..operators import detect
 from ..operators.redact import merge_spans, redact
 from ..operators.scoring import by_severity, composite_score, risk_level
+from .custom import parsed
 
 THREAT = "struct<ord:int,id:string,category:string,label:string,score:int,count:int,confidence:double,signals:array<string>>"
 RESULT = ("score", "level", "threats", "threat_categories", "threat_count", "redacted_text", "pattern_match_count", "injection")
@@ -97,18 +98,12 @@ def event_of(scanned: DataFrame, id: str, stamp: Column, llm: Column, decision:
 
 
 def pattern_of_row(row) -> Pattern:
-    """A Pattern from a row of custom patterns: a keyword, unless it holds characters that only a regular expression would."""
-    import re
+    """A Pattern from a row of custom patterns (see custom.parsed)."""
+    regex, any_case = parsed(row["pattern"])
+    return Pattern(row["id"], row["category"] or "CUSTOM", row["name"] or row["id"], int(row["score"] if row["score"] is not None else 50), f"[{row['category'] or 'CUSTOM'}]", (), regex, ignore_case=any_case, always=True)
 
-    given, i = row["pattern"], False
-    keyword = not re.search(r"[\\\[\](){}|*+?^$]", given)
-    if given.startswith("(?i)"):
-        given, i = given[4:], True
-    regex = re.sub(r"([.^$*+?{}\[\]\\|()/-])", r"\\\1", given) if keyword else given
-    return Pattern(row["id"], row["category"] or "CUSTOM", row["name"] or row["id"], int(row["score"] if row["score"] is not None else 50), f"[{row['category'] or 'CUSTOM'}]", (), regex, ignore_case=i or keyword, always=True)
 
-
-#: The most custom patterns of one organisation that become a scan.
+#: The most custom patterns of one organisation that become part of a scan's expressions; custom.custom_threats takes any number, of all organisations.
 MOST_CUSTOM = 1_000
 
 
@@ -116,5 +111,5 @@ def organisation_patterns(custom: DataFrame, org: str) -> tuple[Pattern, ...]:
     """The active patterns of an organisation, by id. Collects them; more than MOST_CUSTOM are an error. Null and empty patterns don't count."""
     rows = custom.where((F.col("org_id") == org) & F.col("is_active") & (F.col("pattern") != "")).orderBy("id").limit(MOST_CUSTOM + 1).collect()
     if len(rows) > MOST_CUSTOM:
-        raise ValueError(f"more than {MOST_CUSTOM} patterns")
+        raise ValueError(f"more than {MOST_CUSTOM} patterns: use custom_threats")
     return tuple(map(pattern_of_row, rows))
