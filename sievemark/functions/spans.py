@@ -32,7 +32,7 @@ def blocks(items: Column) -> Column:
 def running(values: Column, first: int, merge: Callable[[Column, Column], Column]) -> Column:
     """For each of an array of ints, what `merge` makes of `first` and all before it. Two steps of BLOCK, so a fold doesn't carry an ever longer array along."""
     start = F.lit(first)
-    fold = lambda x: F.aggregate(x, start, merge)
+    fold = lambda x: F.aggregate(F.slice(x, F.lit(2), F.lit(BLOCK)), F.get(x, F.lit(0)), merge)
 
     def placed(parts: Column) -> Column:
         def of_sums(sums: Column) -> Column:

@@ -23,7 +23,7 @@ def merge_spans(spans: Column) -> Column:
 
 
 def redact(text: Column, merged: Column) -> Column:
-    """The text with each of the disjoint sorted spans replaced by its placeholder. The text is cut at some spans first, as a cut within it costs as much as what lies before."""
+    """The text with each of the disjoint sorted spans replaced by its placeholder. The text is cut at some spans first, as a cut within it costs as much as what lies before. merged: a column, not an expression, which would be computed for each span."""
 
     def part(group: Column, k: Column) -> Column:
         begin = F.coalesce(F.try_element_at(merged, F.nullif(k * BLOCK, F.lit(0)))["end"], F.lit(0))

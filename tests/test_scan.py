@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 import unicodedata
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 from sievemark.functions.dialect import plain_spaces, to_java
 from sievemark.functions.dictionary import PATTERNS, Pattern, llm_of_host
 from sievemark.functions.entropy import shannon_entropy
-from sievemark.functions.spans import find_all, find_literals
-from sievemark.operators.detect import folded, joined_singles, plain_form, without_hidden
-from sievemark.plans import reference
+from sievemark.functions.spans import blocks, find_all, find_literals, islands, open_gates, running, shared_parts
+from sievemark.functions.words import dictionary, looked_up
+from sievemark.operators.detect import MATCH, folded, joined_singles, plain_form, without_contained, without_hidden
+from sievemark.operators.redact import merge_spans, redact
+from sievemark.operators.scoring import bar_width, count_label, risk_label
+from sievemark.plans import scanning
+from sievemark.plans.custom import custom_threats
 from sievemark.plans.scan import event_of, organisation_patterns, scan
 
 POSITIVE = {
@@ -135,7 +140,7 @@ def test_plain_forms_of_all_documents(spark, tmp_path):
         s = re.sub("[\u1680\u2028\u2029]", "\x0b", s).translate(str.maketrans("013457@$", "oieastas"))
         return re.sub(r"\b(?:[a-z0-9][\s._-]){2,}[a-z0-9]\b", lambda m: re.sub(r"[\s._-]", "", m[0]), s, flags=re.ASCII)
 
-    got = {r.doc_id: r.plain for r in reference.QUERIES["x12_plain_forms"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain for r in scanning.QUERIES["x12_plain_forms"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(plain(t).encode()).hexdigest() for k, t in enumerate(texts)}
 
 
@@ -200,3 +205,97 @@ def test_filters_do_not_repeat_the_work(spark):
     hits = scan(rows).where("threat_count > 0 and level = 'HIGH'").select("id", F.inline("threats"))
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 400_000 and [(r.id, r[1]) for r in hits.collect()] == [(1, "AWS_ACCESS_KEY")]
+
+
+def test_running_and_blocks(spark):
+    random.seed(7)
+    lists = [[random.randrange(-5, 9) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 129, 1000)] + [None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    got = rows.select("k", running(F.col("x"), 3, lambda a, x: a + x).alias("sums"), running(F.col("x"), -1, lambda a, x: F.greatest(a, x)).alias("tops"), blocks(F.col("x")).alias("b")).collect()
+    for r in got:
+        own = lists[r.k]
+        if own is not None:
+            assert r.sums == [3 + sum(own[:i]) for i in range(len(own))] and r.tops == [max([-1, *own[:i]]) for i in range(len(own))]
+            assert [x for b in r.b for x in b] == own and all(len(b) == 64 for b in r.b[:-1])
+
+
+def test_many_spans_against_brute_force(spark):
+    rng = random.Random(11)
+    cases = [[(s, s + rng.randrange(1, w), f"P{k}", rng.choice([None, 1, 2, 3]), k) for k, s in enumerate(rng.randrange(6 * n) for _ in range(n))] for n, w in ((0, 2), (1, 4), (5, 20), (60, 9), (300, 5), (300, 15), (70, 400))]
+    rows = spark.createDataFrame([(k, x, "".join(chr(97 + i % 26) for i in range(2600))) for k, x in enumerate(cases)], "k int, s array<struct<start:int,end:int,placeholder:string,score:int,seq:int>>, t string")
+    for r in rows.select("k", "t", merge_spans(F.col("s")).alias("m"), F.array_sort("s").alias("s")).select("k", "t", "m", redact(F.col("t"), F.col("m")).alias("r"), islands(F.col("s")).alias("i")).collect():
+        want = []
+        for s, e, p, score, _ in sorted(cases[r.k], key=lambda x: (x[0], x[1], x[4])):
+            if want and s < want[-1][1]:
+                if (score or 0) > (want[-1][3] or 0):
+                    want[-1][2:] = [p, score]
+                want[-1][1] = max(want[-1][1], e)
+            else:
+                want.append([s, e, p, score])
+        assert [[x.start, x.end, x.placeholder] for x in r.m] == [w[:3] for w in want]
+        if cases[r.k]:
+            assert [(min(x.start for x in g), max(x.end for x in g)) for g in r.i] == [(w[0], w[1]) for w in want]
+        text, at = "", 0
+        for s, e, p, _ in want:
+            text, at = text + r.t[at:s] + p, e
+        assert r.r == text + r.t[at:]
+    matches = [[(rng.randrange(4), s, s + rng.randrange(1, 30), rng.randrange(3)) for s in (rng.randrange(400) for _ in range(n))] for n in (0, 1, 2, 50, 120)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(matches)], f"k int, m {MATCH}")
+    for r in rows.select("k", without_contained(F.col("m")).alias("x")).collect():
+        own = matches[r.k]
+        keep = [m for m in own if not any(o[0] != m[0] and o[1] <= m[1] and o[2] >= m[2] and o[2] - o[1] > m[2] - m[1] and o[3] >= m[3] for o in own)]
+        assert sorted((x.ord, x.start, x.end, x.score) for x in r.x) == sorted(keep)
+
+
+def test_texts_with_many_matches(spark):
+    """The time doesn't grow with the square of the matches."""
+    scanned(spark, ["warm up a@b.com"])
+    t = time.time()
+    few, many = scanned(spark, ["a@b.com " * 1000, "a@b.com " * 16_000])
+    assert (few.pattern_match_count, many.pattern_match_count) == (1000, 16_000) and many.redacted_text == "[EMAIL] " * 16_000
+    assert time.time() - t < 10
+
+
+def test_gates(spark):
+    gates = {0: ["akia", "asia"], 1: ["ghp_", "gho_", "npm_"], 2: ["sk-"], 3: ["npm_", "://a", "://b", "x://c"], 4: []}
+    assert sorted(x for part in shared_parts([y for g in gates.values() for y in g]).values() for x in part) == sorted({y for g in gates.values() for y in g})
+    texts = ["", "asia", "npm_ sk-", "_", "://", "x://c akia ghp_"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", F.array_distinct(open_gates(F.col("t"), gates)).alias("g")).collect():
+        assert sorted(r.g) == [k for k, g in gates.items() if any(x in r.t for x in g)]
+
+
+def test_custom_patterns_of_all_organisations(spark):
+    kinds = "id string, org_id string, name string, pattern string, category string, score smallint, is_active boolean"
+    custom = spark.createDataFrame([("a", "o", None, "merger file", None, None, True), ("b", "o", "n", r"\bPAYR-\d{4}\b", "P", 9, True), ("c", "o", "off", "zzz", "Z", 1, False), ("d", "p", "other", "zzz", "Z", 1, True), ("e", "o", "bad", "(", "X", 1, True), ("f", "o", "none", None, "X", 1, True), ("g", "o", "empty", "", "X", 1, True), ("h", "o", "star", "q*", "X", 1, True), ("i", None, "lost", "zzz", "X", 1, True)], kinds)
+    rows = spark.createDataFrame([(1, "o", "Merger File, PAYR-1234 PAYR-12345 PAYR-5678 zzz"), (2, "p", "zzz zzz"), (3, "p", None), (4, None, "zzz"), (5, "q", "zzz"), (6, "o", "")], "k int, org_id string, text string").withColumn("custom", F.lit("clash"))
+    got = {r.k: [(x.id, x.name, x.category, x.score, x["count"]) for x in r.custom] for r in custom_threats(rows, custom).collect()}
+    assert got == {1: [("a", "a", "CUSTOM", 50, 1), ("b", "n", "P", 9, 2)], 2: [("d", "other", "Z", 1, 2)], 3: [], 4: [], 5: [], 6: []}
+    assert custom_threats(rows, custom.limit(0)).count() == 6 and custom_threats(rows.limit(0), custom).count() == 0
+    many = spark.range(1500).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("id"), F.lit("o").alias("org_id"), F.lit("n").alias("name"), F.concat(F.lit("word"), F.col("id").cast("string"), F.lit("x")).alias("pattern"), F.lit("C").alias("category"), F.lit(1).cast("smallint").alias("score"), F.lit(True).alias("is_active"))
+    (r,) = custom_threats(spark.createDataFrame([("o", "word1499x word3x")], "org_id string, text string"), many).collect()
+    assert [x.id for x in r.custom] == ["id1499", "id3"]
+
+
+def test_words(spark):
+    rows = spark.createDataFrame([("hello", "x", 1), ("help", "y", 1), ("hello", "z", 2), ("", "n", 1), (None, "n", 1), ("hero", None, 1)], "word string, meta string, o int")
+    words = dictionary(rows, "word", "meta", "o")
+    assert words.count() == 3
+    asked = spark.createDataFrame([("hello",), ("hel",), ("hero",), ("zzz",), (None,), ("",), ("hel",)], "q string")
+    got = {r.q: (r.has, r.starts, r.meta) for r in looked_up(asked, words).collect()}
+    assert got == {"hello": (True, True, "z"), "hel": (False, True, None), "hero": (True, True, None), "zzz": (False, False, None), None: (False, False, None), "": (False, True, None)}
+    assert looked_up(asked, words.limit(0)).where("has OR starts").count() == 0
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("HIGH", 90, 2), ("SAFE", 0, 1), ("odd", 3, None), (None, None, 0)], "l string, s int, n int")
+    got = [tuple(r) for r in rows.select(risk_label(F.col("l"), F.col("s")), count_label(F.col("n")), bar_width(F.col("s"))).collect()]
+    assert got == [("HIGH RISK · 90/100", "×2", 90), ("SAFE · 0/100", "", 4), ("odd · 3/100", "", 4), (None, "", None)]
+
+
+def test_exports():
+    import sievemark
+
+    assert all(getattr(sievemark, name) is not None for name in sievemark.__all__)
+    with pytest.raises(AttributeError):
+        sievemark.nothing
