@@ -157,6 +157,11 @@ def exact_percentiles(values: DataFrame, value: str, percents: list[int], *keys:
     return near.select(*keys, "p", F.col("_v").alias("value"), to.alias("_to"), "_n", "_rest").where((F.col("_rest") >= F.col("_to") - F.col("_n")) & (F.col("_rest") < F.col("_to"))).select(*keys, "p", "value")
 
 
+def oldest(events: DataFrame, n: int = 1, ms: str = "timestamp", order: str = "delivery_id") -> DataFrame:
+    """The n oldest events that have a time; a top-n, not a sort of all."""
+    return events.where(F.col(ms).isNotNull()).orderBy(ms, order).limit(n)
+
+
 def timings(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """keys, n, p50, p95, p99, mean and rate (rows a second: 1000 / mean) of times in ms; nulls don't count. A mean of 0 has no rate."""
     mean = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(value)) / F.count(F.lit(1))).cast("double").alias("mean"))

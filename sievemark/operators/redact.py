@@ -47,3 +47,10 @@ def merge_span_rows(spans: DataFrame, key: str) -> DataFrame:
     island = opened.withColumn("_island", F.sum("_new").over(order))
     worst = F.min_by("placeholder", F.struct(-F.coalesce("score", F.lit(0)), "start", "end", "seq"))
     return island.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), worst.alias("placeholder")).drop("_island")
+
+
+def without_overlap(spans: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows of spans (key, start, end, more) that share no character with one of others of the same key: an anti-join on the key with a range condition."""
+    a, b = spans.alias("a"), others.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end")).alias("b")
+    hit = (F.col(f"a.{key}") == F.col("_key")) & (F.col("a.start") < F.col("_end")) & (F.col("_start") < F.col("a.end"))
+    return a.join(b, hit, "left_anti")

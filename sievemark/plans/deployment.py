@@ -110,6 +110,20 @@ def s10_bootstrap(spark, folder):
     return store.organisations().select("id", F.col("api_key_hash").alias("hash"), "plan", "max_users")
 
 
+_SINCE = NOW - NOW % 86_400_000
+
+
+@_query(f"""WITH {_STORED}, last AS (SELECT org_id, max(delivery_id) AS l, count(*) AS total_scans FROM stored GROUP BY org_id),
+  r AS (SELECT s.*, l, total_scans, row_number() OVER (PARTITION BY s.org_id, delivery_id = l ORDER BY ts DESC, id DESC) AS k FROM stored s JOIN last USING (org_id)), b AS (SELECT * FROM r WHERE delivery_id = l OR k <= 499),
+  o AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, delivery_id) AS place FROM b)
+  SELECT org_id, max(total_scans) AS total_scans, count(*) AS stored_events, count(*) FILTER (ts >= {_SINCE}) AS today_scans, count(*) FILTER (ts >= {_SINCE} AND threat_count > 0) AS today_threats, count(*) FILTER (threat_count > 0) AS threats_caught,
+    coalesce(min(place) FILTER (threat_count <> 0) - 1, count(*)) AS clean_streak FROM o GROUP BY org_id""")
+def s11_stats_message(spark, folder):
+    """The answer to a message that asks for the figures of what the bounded store holds."""
+    answer = _loaded(spark, folder).handle({"type": "STATS"}, NOW)
+    return answer["stats"].select("org_id", "total_scans", "stored_events", "today_scans", "today_threats", "threats_caught", "clean_streak")
+
+
 _ORG = "(SELECT org_id FROM sync_events GROUP BY org_id ORDER BY count(*) DESC, org_id LIMIT 1)"
 
 

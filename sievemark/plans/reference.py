@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dictionary import llm_of_host, luhn
+from ..functions.dictionary import VALIDATORS, llm_of_host
 from ..functions.entropy import shannon_entropy
 from ..functions.idents import hex_ident
 from ..functions.spans import find_literals, has_literal
@@ -74,7 +74,7 @@ def x4_dictionary(spark, folder):
   SELECT o_orderkey, list_sum(list_transform(range(1, CAST(len(d) + 1 AS BIGINT)), lambda i: CASE WHEN i % 2 = 1 THEN d[i] WHEN d[i] > 4 THEN 2 * d[i] - 9 ELSE 2 * d[i] END)) % 10 = 0 AS valid FROM digits""")
 def x6_luhn(spark, folder):
     number = F.concat(F.lit("4"), F.lpad((F.col("o_orderkey") * 7919 % 1_000_000_000).cast("string"), 9, "0"), F.lit(" "), F.lpad((F.col("o_custkey") * 104_729 % 1_000_000).cast("string"), 6, "0"))
-    return table(spark, folder, "orders", "o_orderkey", "o_custkey").select("o_orderkey", luhn(number).alias("valid"))
+    return table(spark, folder, "orders", "o_orderkey", "o_custkey").select("o_orderkey", VALIDATORS["luhn"](number).alias("valid"))
 
 
 @_query("""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), k AS (SELECT p_partkey, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), t AS (SELECT p_partkey, sum(n) AS t FROM k GROUP BY ALL)
@@ -134,9 +134,8 @@ def j4_without_contained(spark, folder):
 @_query(f"""WITH {_SPANS_SQL} SELECT a.l_orderkey, a.seq FROM spans a WHERE a.seq > 2 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.l_orderkey = a.l_orderkey AND b.seq <= 2 AND a.s < b.e AND b.s < a.e)""")
 def j5_without_overlap(spark, folder):
     """Later spans that overlap none of the first two: an anti-join on the key with a range condition."""
-    a, b = _spans(spark, folder).where("seq > 2").alias("a"), _spans(spark, folder).where("seq <= 2").alias("b")
-    hit = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return a.join(b, hit, "left_anti").select("l_orderkey", "seq")
+    spans = _spans(spark, folder)
+    return redact.without_overlap(spans.where("seq > 2"), spans.where("seq <= 2"), "l_orderkey").select("l_orderkey", "seq")
 
 
 @_query("SELECT delivery_id, CASE regexp_replace(h, '^www\\.', '') WHEN 'chatgpt.com' THEN 'ChatGPT' WHEN 'chat.openai.com' THEN 'ChatGPT' WHEN 'claude.ai' THEN 'Claude' WHEN 'gemini.google.com' THEN 'Gemini' END AS llm FROM (SELECT delivery_id, CASE delivery_id % 5 WHEN 0 THEN 'www.claude.ai' WHEN 1 THEN 'chatgpt.com' WHEN 2 THEN 'gemini.google.com' WHEN 3 THEN 'chat.openai.com' ELSE 'example.org' END AS h FROM event_in)")
@@ -157,7 +156,7 @@ def s7_one_organisation(spark, folder):
 
 @_query(f"WITH {_EVENTS_SQL} SELECT delivery_id, ms FROM events_ WHERE ms IS NOT NULL ORDER BY ms, delivery_id LIMIT 1")
 def s5_oldest(spark, folder):
-    return events(spark, folder).where("ms IS NOT NULL").orderBy("ms", "delivery_id").limit(1).select("delivery_id", "ms")
+    return analytics.oldest(events(spark, folder), ms="ms").select("delivery_id", "ms")
 
 
 @_query("SELECT count(*) AS n FROM sync_events")
@@ -323,6 +322,22 @@ def flt7_filter_history(spark, folder):
     return analytics.filtered(table(spark, folder, "sync_events", "delivery_id", "risk_level", "llm"), "HIGH", "Claude").select("delivery_id")
 
 
+@_query("SELECT 'llm' AS asked, delivery_id FROM sync_events WHERE llm = 'Claude' UNION ALL SELECT 'risk', delivery_id FROM sync_events WHERE risk_level = 'HIGH' UNION ALL SELECT 'all', delivery_id FROM sync_events")
+def flt7_filters_with_all(spark, folder):
+    """The filters with ALL for one of them, or both."""
+    rows = table(spark, folder, "sync_events", "delivery_id", "risk_level", "llm")
+    some = {"llm": ("ALL", "Claude"), "risk": ("HIGH", "ALL"), "all": ("ALL", "ALL")}
+    parts = [analytics.filtered(rows, *f).select(F.lit(k).alias("asked"), "delivery_id") for k, f in some.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(f"WITH {_EVENTS_SQL} SELECT CAST(row_number() OVER (ORDER BY ms DESC NULLS LAST, delivery_id) AS INTEGER) AS place, delivery_id FROM events_ ORDER BY place LIMIT 20")
+def o1_first_page(spark, folder):
+    """The first twenty events of the history, newest first, with their places."""
+    page = analytics.recent(events(spark, folder).select("delivery_id", "ms"), 20, ms="ms")
+    return page.agg(F.collect_list("delivery_id").alias("x")).select(F.posexplode("x").alias("place", "delivery_id")).withColumn("place", F.col("place") + 1)
+
+
 @_query(f"WITH {_EVENTS_SQL} SELECT delivery_id FROM events_ ORDER BY ms DESC NULLS LAST, delivery_id LIMIT 10")
 def o2_recent(spark, folder):
     return analytics.recent(events(spark, folder).select("delivery_id", "ms"), ms="ms").select("delivery_id")
