@@ -15,8 +15,8 @@
    down to a score of WEAK.
 
 Long items are handled in pieces and long documents in stretches that overlap by more than a passage; what was found in several of them is put
-together again. Items are handled in blocks, each against all documents, so what is sent to the tasks has a bound
-whatever the number of items. Nothing but the counts of the items' own n-grams goes through a shuffle.
+together again. Up to a bound the items are sent to the tasks, and nothing but the counts of their n-grams goes through a shuffle; beyond
+it their n-grams are a table that is joined with the documents' (leakjoin), by the same rules.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -40,7 +40,7 @@ COMMON, MOST, ENOUGH, RAISED = 4.0, 6.0, 48.0, 4.0
 LONG = 8
 #: The most texts of which equal copies are counted together.
 COPIED = 1_000
-#: The most items, and characters of items, that are sent to the tasks at once.
+#: The most items, and characters of items, that are sent to the tasks; more are joined with the documents (see leakjoin).
 ITEM_BLOCK, BLOCK_CHARACTERS = 20_000, 12_000_000
 #: Longer items are handled as pieces of so many words, which share PIECE_SHARED words with the next; both are longer if longer passages are asked for.
 PIECE, PIECE_SHARED = 400, 100
@@ -69,8 +69,32 @@ def lines(text: str) -> list[list[str]]:
     return [w for x in unicodedata.normalize("NFKC", text).casefold().split("\n") if (w := _WORD.findall(x.replace("\xad", "")))]
 
 
+def stands_alone(owner: np.ndarray, at: np.ndarray, long_at: np.ndarray) -> np.ndarray:
+    """Whether each n-gram that begins at `at` is without a long one within SPREAD words. owner: the text of each word."""
+    # the first long one that isn't too far before; texts are set apart so that none reaches into the next
+    apart = 2 * SPREAD * owner
+    begin, marks = at + apart[at], long_at + apart[long_at]
+    k = np.searchsorted(marks, begin - (LONG - SEED) - SPREAD)
+    return np.append(marks, 1 << 62)[k] > begin + SPREAD
+
+
+def weights(share: np.ndarray, least: int) -> np.ndarray:
+    """The weights of the n-grams of one piece, in their order, by the share of the documents in which each stands alone. In every passage of `least` words the rarest are raised until they weigh ENOUGH together."""
+    with np.errstate(divide="ignore"):
+        weight = np.clip(-np.log(share) - COMMON, 0, MOST)
+    size = least - SEED + 1
+    for k in range(len(weight) - size + 1):
+        missing = ENOUGH - weight[k : k + size].sum()
+        if missing > 0:
+            for r in (k + np.argsort(share[k : k + size], kind="stable")).tolist():
+                if weight[r] < RAISED and missing > 0:
+                    missing -= RAISED - weight[r]
+                    weight[r] = RAISED
+    return weight
+
+
 class Items:
-    """A block of items: word ids, n-grams as numbers, and where they stand."""
+    """Some items: word ids, n-grams as numbers, and where they stand."""
 
     def __init__(self, items: list[tuple[int, str | None]], least: int = 24):
         shared = max(PIECE_SHARED, least)
@@ -131,11 +155,7 @@ class Items:
         ids, owner = self.ids_of(texts)
         at, gram = self.hits(ids, owner, SEED, self.known)
         long_at, _ = self.hits(ids, owner, LONG, self.known_long)
-        # the first long one that isn't too far before; texts are set apart so that none reaches into the next
-        apart = 2 * SPREAD * owner
-        begin, marks = at + apart[at], long_at + apart[long_at]
-        k = np.searchsorted(marks, begin - (LONG - SEED) - SPREAD)
-        alone = np.append(marks, 1 << 62)[k] > begin + SPREAD
+        alone = stands_alone(owner, at, long_at)
         return owner[at[alone]], gram[alone]
 
 
@@ -294,21 +314,11 @@ class Matcher:
     def __init__(self, items: Items, share: np.ndarray, least: int = 24):
         self.items, self.least, self.masks = items, least, {}
         self.starts, self.starts_long = (np.searchsorted(at[:, 0], np.arange(len(known) + 1)) for at, known in ((items.at, items.known), (items.at_long, items.known_long)))
-        with np.errstate(divide="ignore"):
-            self.weight = np.clip(-np.log(share) - COMMON, 0, MOST)[items.at[:, 0]]  # of each place
-        size = least - SEED + 1
+        self.weight = np.zeros(len(items.at))  # of each place
         order = np.lexsort((items.at[:, 2], items.at[:, 1]))
         ends = np.searchsorted(items.at[order, 1], np.arange(len(items.words) + 1))
         for a, b in zip(ends.tolist(), ends[1:].tolist()):
-            rows = order[a:b]
-            for k in range(len(rows) - size + 1):
-                window = rows[k : k + size]
-                missing = ENOUGH - self.weight[window].sum()
-                if missing > 0:
-                    for r in window[np.argsort(share[items.at[window, 0]], kind="stable")].tolist():
-                        if self.weight[r] < RAISED and missing > 0:
-                            missing -= RAISED - self.weight[r]
-                            self.weight[r] = RAISED
+            self.weight[order[a:b]] = weights(share[items.at[order[a:b], 0]], least)
         self.used = np.add.reduceat(self.weight, self.starts[:-1]) > 0 if len(items.known) else np.zeros(0, bool)
 
     def candidates(self, texts: list[str | None]) -> list[tuple[int, int]]:
@@ -425,7 +435,6 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     schema = T.StructType([T.StructField(key, kinds[0]), T.StructField(item, kinds[1]), T.StructField("words", T.IntegerType()), T.StructField("matched", T.IntegerType()), T.StructField("score", T.DoubleType())])
     if least > MOST_ASKED:
         raise ValueError(f"passages of up to {MOST_ASKED} words can be asked for")
-    out, block, size = [], [], 0
 
     def against(block: list[tuple[int, str | None]]) -> DataFrame:
         own = spark.sparkContext.broadcast(Items(block, least))
@@ -459,12 +468,10 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 24, key: str = "
     kind = to_arrow_type(kinds[1])
     same = given.groupBy(F.xxhash64("_text").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = {h: n for h, n in same.orderBy(F.desc("n"), "hash").limit(COPIED).collect()}
-    for row in items.select(item, item_text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if len(block) >= ITEM_BLOCK or size >= BLOCK_CHARACTERS:
-            out.append(against(block))
-            block, size = [], 0
-    if block or not out:
-        out.append(against(block))
-    return reduce(DataFrame.unionByName, out)
+    few = items.select(item, item_text)
+    n, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()
+    if n <= ITEM_BLOCK and size <= BLOCK_CHARACTERS:
+        return against([(r[0], r[1]) for r in few.collect()])
+    from . import leakjoin
+
+    return leakjoin.leaked(given, few, schema, copies, least, least_matched)

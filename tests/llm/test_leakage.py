@@ -158,12 +158,30 @@ def test_candidates_against_all_pairs():
     assert pick(some) == pick(every) and len(pick(some)) > 15
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t) for i, t, _ in cases()], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, " ".join(ITEM)), (9, " ".join(text(70, 77))), (8, " ".join(ITEM[:50]))], "item_id bigint, text string")
-    whole = {tuple(r) for r in leakage.leaked(docs, items).select("doc_id", "item_id").collect()}
+def test_items_beyond_the_bound(spark, monkeypatch):
+    """Where the items are joined instead of sent, the pairs are the same, in every document with the text, whatever its key."""
+    long = text(900, 50)
+    rows = [(i, t) for i, t, _ in cases()] + [(1, cases().__next__()[1]), (None, cases().__next__()[1]), (50, "\n".join(page(text(40, 4) + long[100:700] + text(40, 5)))), (51, "\n".join(page(long[250:310])))]
+    rows += [(100 + k, "\n".join(page(text(80, 100 + k)))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(7, " ".join(ITEM)), (9, " ".join(text(70, 77))), (8, " ".join(ITEM[:50])), (10, None), (11, ""), (12, "one two"), (13, " ".join(long)), (None, " ".join(ITEM[5:]))], "item_id bigint, text string").repartition(2)
+    pairs = lambda d, i: sorted(map(tuple, leakage.leaked(d, i).collect()), key=repr)
+    whole = pairs(docs, items)
     monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
-    assert {tuple(r) for r in leakage.leaked(docs, items).select("doc_id", "item_id").collect()} == whole
+    joined = pairs(docs, items)
+    assert len(whole) > 25 and joined == whole
+    assert pairs(docs.limit(0), items) == [] and pairs(docs, items.where("item_id > 9 AND item_id < 13")) == []
+    strings = items.select(leakage.F.concat(leakage.F.lit("i"), "item_id").alias("item_id"), "text")
+    assert len(pairs(docs, strings.where("item_id IS NOT NULL"))) == len([r for r in whole if r[1] is not None])
+
+
+def test_filter(spark):
+    from sievemark.llm.leakjoin import Filter
+
+    rng = leakage.np.random.default_rng(3)
+    inside, outside = (rng.integers(-(1 << 63), (1 << 63) - 1, 3000) for _ in range(2))
+    own = Filter(spark.createDataFrame([(int(x),) for x in inside], "gram bigint"))
+    assert own.holds(inside).all() and own.holds(outside).mean() < 0.02
 
 
 @pytest.mark.parametrize("seed", range(5))
