@@ -99,6 +99,14 @@ def k1_defaults(spark, folder):
     return out.select("org_id", "id", F.col("timestamp").alias("ts"), F.array_join("threat_categories", "|").alias("categories"), "threat_count", "pattern_match_count")
 
 
+@_query("SELECT count(*) AS n, count(*) AS distinct_ids, true AS well_formed FROM sync_events WHERE id IS NULL")
+def f8_new_ids(spark, folder):
+    """Ids that events without one get: each its own, of the usual form."""
+    made = retention.with_defaults(table(spark, folder, "sync_events", "id").where("id IS NULL"))
+    form = F.coalesce(F.bool_and(F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")), F.lit(True))
+    return made.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct_ids"), form.alias("well_formed"))
+
+
 @_query("SELECT id, sha256(id) AS hash, 'trial' AS plan, 10 AS max_users FROM organizations")
 def s10_bootstrap(spark, folder):
     """Organisations added twice, half of them before: each is there once, its key as a hash."""
