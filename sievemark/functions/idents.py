@@ -14,5 +14,7 @@ def hex_ident(ident: Column) -> Column:
 
 def ident_key(ident: Column) -> Column:
     """The same as bytes, of half the size: 32 digits as their 16 bytes, anything else as at least 17. Equal exactly where hex_ident is equal."""
-    known = hex_ident(ident)
-    return F.when((F.length(known) == 32) & ~known.startswith("="), F.unhex(known)).otherwise(F.concat(F.lit("*" * 16), known).cast("binary"))
+    # most are digits and hyphens; unhex gives null for any other sign, and only then is the general way taken
+    usual, known = F.replace(ident, F.lit("-"), F.lit("")), hex_ident(ident)
+    general = F.when((F.length(known) == 32) & ~known.startswith("="), F.unhex(known)).otherwise(F.concat(F.lit("*" * 16), known).cast("binary"))
+    return F.coalesce(F.when(F.length(usual) == 32, F.unhex(usual)), general)
