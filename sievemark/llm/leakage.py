@@ -65,8 +65,9 @@ def words(text: str | None) -> list[str]:
 
 
 def lines(text: str) -> list[list[str]]:
-    """The words of each line, broken ones left as they are."""
-    return [w for x in unicodedata.normalize("NFKC", text).casefold().split("\n") if (w := _WORD.findall(x.replace("\xad", "")))]
+    """The words of each line that has any, broken ones left as they are."""
+    plain = unicodedata.normalize("NFKC", text).casefold().replace("\xad", "")
+    return [w for x in plain.split("\n") if (w := _WORD.findall(x))]
 
 
 def stands_alone(owner: np.ndarray, at: np.ndarray, long_at: np.ndarray) -> np.ndarray:
@@ -159,24 +160,19 @@ class Items:
         return owner[at[alone]], gram[alone]
 
 
-def _letter_pairs(word: str) -> tuple[tuple[int, ...], int]:
+@lru_cache(200_000)
+def _letter_pairs(word: str) -> tuple[bytes, int]:
     """The set of a word's letter pairs as the bits of four numbers, and their number."""
     marked = f"\x02{word}\x03"
     pairs = {(ord(a) * 31 + ord(b) * 7) % 251 for a, b in zip(marked, marked[1:])}
-    masks = [0, 0, 0, 0]
-    for p in pairs:
-        masks[p >> 6] |= 1 << (p & 63)
-    return tuple(masks), len(pairs)
-
-
-_letter_pairs = lru_cache(200_000)(_letter_pairs)
+    return sum(1 << p for p in pairs).to_bytes(32, "little"), len(pairs)
 
 
 def _masks(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The letter pairs of the distinct words, their numbers, and which of these each word is."""
     index = {w: k for k, w in enumerate(dict.fromkeys(words))}
     masks, sizes = zip(*map(_letter_pairs, index))
-    return np.array(masks, np.uint64), np.array(sizes, np.int16), np.fromiter(map(index.__getitem__, words), np.intp, len(words))
+    return np.frombuffer(b"".join(masks), "<u8").reshape(-1, 4), np.array(sizes, np.int16), np.fromiter(map(index.__getitem__, words), np.intp, len(words))
 
 
 def _alike(page: tuple[np.ndarray, ...], item: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -186,7 +182,7 @@ def _alike(page: tuple[np.ndarray, ...], item: tuple[np.ndarray, ...]) -> np.nda
     for k in range(1, 4):
         common += np.bitwise_count(a[:, None, k] & b[None, :, k])
     like = 2 * common.astype(np.int16) >= ALIKE * (sizes[:, None] + own_sizes[None, :])
-    return like[which[:, None], own_which[None, :]]
+    return like.take(which, axis=0).take(own_which, axis=1)
 
 
 def align(pairs: list[tuple[list[str], list[list[str]]]], alike: list[np.ndarray] | None = None) -> list[tuple[float, int, int, int, int]]:
