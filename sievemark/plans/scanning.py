@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import EXOTIC_SPACES, SPACES
 from ..functions.dictionary import CATEGORIES, INJECTION_PHRASES, PATTERNS, TRIGGER
-from ..functions.spans import find_all
+from ..functions.spans import cut, placed
 from ..operators import detect
 from ..session import spread
 from ..sources.tables import table
@@ -253,10 +253,12 @@ def x10_hidden_secrets(spark, folder):
 def x5_find_all(spark, folder):
     """Matches of every pattern on its own, without gate and validation: their number, the documents, characters and places. One pass over the texts."""
     texts = planted(spark, folder).select(detect.plain_spaces(F.col("text")).alias("text"))
-    each = F.array(*(F.struct(F.lit(p.id).alias("pattern"), find_all(F.col("text"), p.java).alias("x")) for p in PATTERNS))
+    cuts = F.array_compact(F.array(*(cut(F.col("text"), p.java, pattern=F.lit(p.id)) for p in PATTERNS)))
+    found = F.transform(cuts, lambda c: F.struct(c["pattern"].alias("pattern"), placed(c).alias("x")))
     sums = lambda f: F.aggregate("x", F.lit(0).cast("bigint"), lambda a, m: a + f(m))
-    rows = texts.select(F.inline(each)).groupBy("pattern")
-    return rows.agg(F.sum(F.size("x").cast("bigint")).alias("n"), F.count_if(F.size("x") > 0).alias("docs"), F.sum(sums(lambda m: m["end"] - m["start"])).alias("characters"), F.sum(sums(lambda m: m["start"])).alias("starts"))
+    each = texts.select(F.inline(found)).select("pattern", F.size("x").cast("bigint").alias("n"), F.lit(1).alias("d"), sums(lambda m: m["end"] - m["start"]).alias("c"), sums(lambda m: m["start"]).alias("s"))
+    none = spark.createDataFrame([(p.id, 0, 0, 0, 0) for p in PATTERNS], "pattern string, n bigint, d int, c bigint, s bigint")
+    return each.unionByName(none).groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"), F.sum("c").alias("characters"), F.sum("s").alias("starts"))
 
 
 @_query()

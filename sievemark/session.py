@@ -17,6 +17,7 @@ def get_spark(cores: str = "*", partitions: int = 8, app: str = "sievemark", **c
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # a stack trace for each column operation
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
