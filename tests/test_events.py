@@ -9,7 +9,7 @@ from sievemark.functions.idents import hex_ident, ident_key
 from sievemark.functions.timing import event_time_ms, ntz_micros
 from sievemark.operators import panes, rolling
 from sievemark.operators.seen import SeenBitmaps, bit_is_set, first_deliveries, further_copies
-from sievemark.operators.versions import Conflict
+from sievemark.operators.versions import Conflict, Versions
 
 ROW = "delivery_id bigint, org_id string, ident string"
 
@@ -75,6 +75,19 @@ def test_two_writers(spark, tmp_path):
     assert fast.versions.vacuum(0) == 1  # what the slow writer wrote first
 
 
+@pytest.mark.parametrize("links", [True, False, None])
+def test_commits_are_exclusive(spark, tmp_path, links):
+    """By link or by rename: a number that is taken stays as it is."""
+    own = Versions(spark, str(tmp_path), links)
+    own.commit(1, {"a": [1]})
+    for _ in range(2):
+        with pytest.raises(Conflict):
+            own.commit(1, {"a": [2]})
+    own.commit(2, {})
+    assert own.committed() == [1, 2] and own.manifest(1) == {"a": [1]} and own.manifest(2) == own.manifest(0) == {}
+    assert not [p for p in (tmp_path / "commits").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
 def test_a_lost_writer_leaves_nothing(spark, tmp_path):
     store = SeenBitmaps(spark, str(tmp_path))
     store.versions.commit = lambda *a: (_ for _ in ()).throw(OSError("lost"))
