@@ -10,7 +10,7 @@ from ..functions.entropy import shannon_entropy
 from ..functions.idents import hex_ident
 from ..functions.spans import find_literals, has_literal
 from ..functions.timing import event_time_ms
-from ..operators import analytics, detect, redact, retention, scoring
+from ..operators import analytics, automaton, detect, redact, retention, scoring
 from ..sources import export, ingest
 from ..session import spread
 from ..sources.tables import table
@@ -54,6 +54,17 @@ def x2_literals(spark, folder):
     return per.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum("s").alias("starts"), F.sum("e").alias("ends"))
 
 
+WORDS = (*LITERALS, "erf", "age", "and", "an", "n", "und", "der", "les", "que", "ou", "tion", "ing", "é", "ß", ".\n")
+
+
+@_query("WITH words(p) AS (VALUES " + ", ".join(f"('{x}')" for x in WORDS) + """), hits AS (
+  SELECT doc_id, p, len(list_filter(range(1, CAST(length(text) AS BIGINT) - length(p) + 2), lambda i: substring(text, i, length(p)) = p)) AS k FROM documents, words WHERE contains(text, p))
+  SELECT p AS word, 'w:' || p AS meta, CAST(sum(k) AS BIGINT) AS n, count(*) AS docs FROM hits GROUP BY p""")
+def x1_automaton(spark, folder):
+    """Many words at once, by one automaton, with a value each."""
+    return automaton.word_counts(spread(table(spark, folder, "documents", "text")), [(w, f"w:{w}") for w in WORDS])
+
+
 @_query(f"SELECT doc_id, contains(text, 'ghp_') OR contains(text, 'system prompt') AS hit FROM (SELECT doc_id, coalesce(text, '') || {_case(PLANTED)} AS text FROM documents)")
 def x3_any_literal(spark, folder):
     return planted(spark, folder).select("doc_id", has_literal(F.col("text"), ["ghp_", "system prompt"]).alias("hit"))

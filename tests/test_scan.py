@@ -14,6 +14,7 @@ from sievemark.functions.dictionary import PATTERNS, Pattern, llm_of_host
 from sievemark.functions.entropy import shannon_entropy
 from sievemark.functions.spans import blocks, find_all, find_literals, islands, open_gates, running, shared_parts
 from sievemark.functions.words import dictionary, looked_up
+from sievemark.operators.automaton import find_words, word_counts
 from sievemark.operators.detect import MATCH, folded, joined_singles, plain_form, without_contained, without_hidden
 from sievemark.operators.redact import merge_spans, redact
 from sievemark.operators.scoring import bar_width, count_label, risk_label
@@ -299,3 +300,17 @@ def test_exports():
     assert all(getattr(sievemark, name) is not None for name in sievemark.__all__)
     with pytest.raises(AttributeError):
         sievemark.nothing
+
+
+def test_automaton(spark):
+    words = [("he", "1"), ("she", "2"), ("his", None), ("hers", "4"), ("ab", "x"), ("abab", "y"), ("xsk-", "z"), ("🛡", "s"), ("he", "last")]
+    texts = ["ahishers", "ababab", "xsk-", "", None, "a🛡🛡he", "nothing", "he" * 3000]
+    rows = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "k int, text string, matches string")
+    for r in find_words(rows, words).collect():
+        own = texts[r.k]
+        brute = None if own is None else sorted(((i + len(w), i, w, m) for w, m in dict(words).items() for i in range(len(own)) if own.startswith(w, i)), key=lambda x: x[:2])
+        assert (r.matches if own is None else [(x.end, x.start, x.word, x.meta) for x in r.matches]) == brute
+    assert {r.word: (r.n, r.docs) for r in word_counts(rows, words).collect()}["he"] == (3002, 3)
+    assert [r.matches for r in find_words(rows.limit(1), []).collect()] == [[]] and find_words(rows.limit(0), words).count() == 0
+    with pytest.raises(ValueError):
+        find_words(rows, [("", None)])
